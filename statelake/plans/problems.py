@@ -127,9 +127,9 @@ _TREE = """
     walk AS (SELECT id, id AS root_id, 0::BIGINT AS depth, name AS full_path, [id] AS ids FROM node WHERE parent IS NULL
              UNION ALL SELECT n.id, w.root_id, w.depth + 1, w.full_path || '/' || n.name, list_append(w.ids, n.id) FROM node n JOIN walk w ON n.parent = w.id)"""
 _LOOPS = """
-    climb AS (SELECT id AS start, parent AS at, [id] AS seen FROM node WHERE id NOT IN (SELECT id FROM walk)
-              UNION ALL SELECT c.start, n.parent, list_append(c.seen, c.at) FROM climb c JOIN node n ON n.id = c.at WHERE NOT list_contains(c.seen, c.at)),
-    loops AS (SELECT start AS id, list_min(seen[list_position(seen, at):]) AS loop_id FROM climb WHERE list_contains(seen, at))"""
+    climb AS (SELECT id AS start, parent AS up, [id] AS seen FROM node WHERE id NOT IN (SELECT id FROM walk)
+              UNION ALL SELECT c.start, n.parent, list_append(c.seen, c.up) FROM climb c JOIN node n ON n.id = c.up WHERE NOT list_contains(c.seen, c.up)),
+    loops AS (SELECT start AS id, list_min(list_slice(seen, list_position(seen, up), len(seen))) AS loop_id FROM climb WHERE list_contains(seen, up))"""
 _CHANGES = """
     n AS (SELECT *, rank() OVER (PARTITION BY id, origin, fragment ORDER BY last_seen DESC) AS r,
                  max(last_seen) OVER (PARTITION BY origin, entity_id, prop, fragment) AS g FROM statement_changes),
