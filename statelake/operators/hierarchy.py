@@ -2,7 +2,7 @@
 
 Tree contraction. Each round removes all leaves (*rake*) and splices out an
 independent set of nodes with a single remaining child (*compress*; a node goes
-if its coin of this round shows heads and its parent's tails). Removed nodes are
+if its random rank of this round is above those of its parent and that child). Removed nodes are
 recorded with the edge they had. Bushy parts vanish by raking, long chains
 shrink geometrically by compressing, so a tree of any shape is gone after a
 number of rounds that is logarithmic in its size. A loop cannot be raked away:
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statelake.session import Scratch
@@ -43,8 +43,9 @@ def newest_nodes(folders: DataFrame) -> DataFrame:
     return nodes.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"), "name")
 
 
-def _heads(column: str, number: int):
-    return F.pmod(F.xxhash64(F.col(column), F.lit(number)), F.lit(2)) == 1
+def _rank(column: str, number: int) -> Column:
+    # a text literal stays out of the generated code, which is thus compiled once for all rounds
+    return F.xxhash64(F.col(column), F.lit(str(number)))
 
 
 def _round(active: DataFrame, number: int) -> DataFrame:
@@ -56,9 +57,10 @@ def _round(active: DataFrame, number: int) -> DataFrame:
     )
     kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"))
     counted = nodes.join(kids, "id", "left").withColumn("leaf", F.col("kids").isNull() & F.col("parent").isNotNull())
-    left = counted.where("not leaf and parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("left"))
+    left = counted.where("not leaf and parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("left"), F.min("id").alias("child"))
+    higher = (_rank("id", number) > _rank("parent", number)) & (_rank("id", number) > _rank("child", number))
     marked = counted.join(left, "id", "left").withColumn(
-        "splice", F.coalesce(~F.col("leaf") & (F.col("left") == 1) & F.col("parent").isNotNull() & _heads("id", number) & ~_heads("parent", number), F.lit(False))
+        "splice", F.coalesce(~F.col("leaf") & (F.col("left") == 1) & F.col("parent").isNotNull() & higher, F.lit(False))
     )
     spliced = marked.where("splice").select(F.col("id").alias("parent"), F.col("parent").alias("up"), F.col("seg").alias("up_seg"), F.col("lo").alias("up_lo"))
     moved = marked.join(spliced, "parent", "left")
@@ -80,11 +82,13 @@ def resolve(nodes: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "hierarchy")
     active = nodes.select("id", "parent", F.array(F.struct("id", "name")).cast(_SEG).alias("seg"), F.lit(None).cast("string").alias("lo"), F.lit(None).cast("string").alias("loop"))
     active = scratch.stage(active, "nodes")
+    done = [active]
     removed: list[DataFrame] = []
     for number in range(MAX_ROUNDS):
         if active.where("parent is not null").isEmpty():
             break
         after = scratch.stage(_round(active, number), f"round{number}", ["gone"])
+        done.append(after)
         removed.append(after.where("gone").drop("gone"))
         active = after.where("not gone").drop("gone")
     else:
@@ -100,6 +104,7 @@ def resolve(nodes: DataFrame) -> DataFrame:
             "id", "root_id", F.when(F.col("up") < 0, F.lit(-1)).otherwise(F.col("up") + F.size("seg")).cast("long").alias("depth"), F.concat("path", "seg").alias("path"), F.col("on").alias("loop")
         )
         parts.append(scratch.stage(below, f"known{number}"))
+    scratch.drop(*done)
     return reduce(DataFrame.unionByName, parts)
 
 

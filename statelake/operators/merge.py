@@ -78,7 +78,7 @@ def merge_by_windows(raw: DataFrame, cutoff: datetime | str | None = None) -> Da
 
 def sorted_for_files(merged: DataFrame) -> DataFrame:
     """The order inside each file, for min/max statistics."""
-    return merged.sortWithinPartitions(*SORT[:-1], F.col("last_seen").desc())
+    return merged.sortWithinPartitions("shard", "bucket", "origin", *SORT[:-1], F.col("last_seen").desc())
 
 
 def slice_ranges(ids: list[str], slices: int) -> list[tuple[str | None, str | None]]:

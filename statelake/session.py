@@ -59,6 +59,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        atexit.register(_forget, spark, self.root)
         self._n = 0
 
     def path(self, name: str = "t") -> str:
@@ -83,6 +84,14 @@ class Scratch:
                 delete_path(self.spark, path)
 
 
+def _forget(spark: SparkSession, root: str) -> None:
+    """Results may read staged tables until the program ends; then they go."""
+    try:
+        delete_path(spark, root)
+    except Exception:  # noqa: BLE001 - the session may be gone already, and its folder with it
+        pass
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

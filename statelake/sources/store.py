@@ -128,7 +128,7 @@ class StatementStore:
         marker = f"appending/{uuid.uuid4().hex}"
         self.folder.create(marker, "")
         try:
-            placed = enforce_required(conform(rows)).repartition(*PARTITIONS)
+            placed = balanced(enforce_required(conform(rows)))
             new = self._write(placed, "append")
             if not new:
                 return self.version() or 0
@@ -171,7 +171,7 @@ class StatementStore:
         cutoff = ((now or _now()) - grace).strftime("%Y-%m-%d %H:%M:%S")
         with self.lock():
             raw = self.spark.read.schema(NULLABLE).option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/{f['path']}" for f in old])
-            merged = merge(raw, cutoff).repartition(*PARTITIONS, F.pmod(F.xxhash64("entity_id"), F.lit(_pieces(old))))
+            merged = balanced(merge(raw, cutoff))
             new = self._write(sorted_for_files(merged), "merge")
             kept = [f for f in files if (f["shard"], f["bucket"], f["origin"]) not in wanted]
             if self.version() != base:
@@ -194,7 +194,7 @@ class StatementStore:
             return 0
         with self.lock():
             rows = self.spark.read.schema(NULLABLE).option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/{f['path']}" for f in old])
-            new = self._write(rows.repartition(*PARTITIONS).sortWithinPartitions("entity_id"), "compact")
+            new = self._write(balanced(rows).sortWithinPartitions(*PARTITIONS, "entity_id"), "compact")
             gone = {f["path"] for f in old}
             self._commit(base, [f for f in self.files(base) if f["path"] not in gone] + new, "compact")
         return len(old) - len(new)
@@ -255,13 +255,9 @@ class StatementStore:
         return held
 
 
-def _pieces(files: list[dict]) -> int:
-    """Into how many files a merged partition is cut at most, so that a hot partition is written by several tasks."""
-    sizes: dict[tuple, int] = {}
-    for f in files:
-        key = (f["shard"], f["bucket"], f["origin"])
-        sizes[key] = sizes.get(key, 0) + f["size"]
-    return max(1, max(sizes.values(), default=0) // (256 << 20) + 1)
+def balanced(rows: DataFrame) -> DataFrame:
+    """Rows of a partition together; small partitions share a task, and one that holds a third of all rows is split over many."""
+    return rows.hint("rebalance", *[F.col(c) for c in PARTITIONS])
 
 
 def _unescape(value: str) -> str:
