@@ -108,3 +108,8 @@ def from_ipc(spark: SparkSession, data: bytes) -> DataFrame:
     return spark.createDataFrame(table)
 
 
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """A document listing as it was exported."""
+    return spark.read.schema("id string, checksum string, name string, mimetype string, path string, size bigint, updated_at timestamp, public_url string").option("header", True).csv(path)

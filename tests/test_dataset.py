@@ -242,3 +242,46 @@ def test_stream_operators(spark, root):
 
     assert run(windowed_counts(stream(), "t", "k"), "windows_", "append").agg(F.sum("n")).first()[0] == 3  # the last window stays open
     assert run(first_deliveries(stream(), "t", ["i"]), "firsts_", "append").count() == 3
+
+
+def test_ndjson_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from statelake.sources.http import NdjsonSource, parse_lines
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"\n".join(json.dumps({"id": f"{self.path}{i}"}).encode() for i in range(3)) + b"\n\n")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(NdjsonSource)
+    base = f"http://127.0.0.1:{server.server_port}"
+    rows = parse_lines(spark.read.format("ndjson").option("urls", f"{base}/a {base}/b").load(), "id string").collect()
+    server.shutdown()
+    assert sorted(r["id"] for r in rows) == ["/a0", "/a1", "/a2", "/b0", "/b1", "/b2"]
+
+
+def test_documents_export_and_source(spark, root):
+    """Files become folder and document entities; the listing has their paths and can be read back."""
+    from statelake.operators.documents import file_entities, folder_entities
+    from statelake.sources.files import read_documents
+
+    ds = Catalog(spark, root).dataset("quay", public_url_prefix="https://data.example.org/${dataset}")
+    for path in ("top/sub/a.txt", "top/b.txt", "c.txt"):
+        ds.archive.store(path, path.encode(), "crawl", "text/plain")
+    files = ds.archive.files().withColumn("extra", F.to_json("extra"))
+    ds.write_entities(folder_entities(files), "crawl", bulk=True)
+    ds.write_entities(file_entities(files), bulk=True)
+    assert ds.export("documents")
+    rows = {r["name"]: r for r in read_documents(spark, f"{root}/quay/exports/documents.csv").collect()}
+    assert {k: r["path"] for k, r in rows.items()} == {"a.txt": "top/sub", "b.txt": "top", "c.txt": None}
+    assert rows["a.txt"]["size"] == 13 and rows["a.txt"]["mimetype"] == "text/plain"
+    assert rows["a.txt"]["public_url"].startswith("https://data.example.org/quay/") and rows["a.txt"]["id"].startswith("file-")
+    assert ds.count(Query(M(schema="Folder"))) == 2
