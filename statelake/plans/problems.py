@@ -167,5 +167,11 @@ def oracle_sql() -> dict[str, str]:
                            arg_max(deleted_at IS NULL, (last_seen, deleted_at IS NOT NULL)) AS live FROM statements GROUP BY ALL)
             SELECT entity_id, CASE WHEN bool_or(live) THEN 'ADD' ELSE 'DEL' END AS op FROM rec GROUP BY 1
             HAVING bool_or(b1 NOT IN (SELECT b FROM covered) OR (b2 IS NOT NULL AND b2 NOT IN (SELECT b FROM covered)))""",
+        "p7_state": f"""
+            WITH {_CHANGES},
+            i AS (SELECT id, origin, coalesce(fragment, '') AS fragment, entity_id, prop, value, first_seen, last_seen, deleted_at FROM statement_changes
+                  QUALIFY row_number() OVER (PARTITION BY id, origin, coalesce(fragment, '') ORDER BY last_seen DESC NULLS LAST, (deleted_at IS NOT NULL) DESC,
+                  entity_id DESC NULLS LAST, prop DESC NULLS LAST, value DESC NULLS LAST, first_seen DESC NULLS LAST, deleted_at DESC NULLS LAST) = 1)
+            SELECT i.* FROM i JOIN k ON i.id = k.id AND i.origin = k.origin AND i.fragment = k.fragment WHERE NOT k.dead AND (k.fragment = '' OR k.newest)""",
         "p7_found": f"WITH {_CHANGES} SELECT id, origin, fragment FROM k WHERE NOT dead AND (fragment = '' OR newest)",
     }
