@@ -24,8 +24,6 @@ named like the key, get a numbered suffix; empty input gives no rows but the ful
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,25 +91,12 @@ def widen(statements: DataFrame, schema_props: DataFrame, block: int = BLOCK, bu
     scratch = Scratch(spark, "widen")
     records = scratch.stage(live_records(statements).where("entity_id is not null"), "records")
     blocks = [props[i : i + block] for i in range(0, len(props), block)]
-    number = {p: i for i, b in enumerate(blocks) for p, _, _ in b}
     block_of = F.lit(-1)
     for i, b in enumerate(blocks):
         block_of = F.when(F.col("prop").isin([p for p, _, _ in b]), i).otherwise(block_of)
     filled = cells(records, props).withColumn("block", block_of)
     everyone = records.select("entity_id").distinct().select("entity_id", F.lit("").alias("prop"), F.lit(None).cast("string").alias("cell"), F.lit(0).cast("long").alias("n"), F.lit(-1).alias("block"))
-    name = "widen_" + uuid.uuid4().hex[:12]
-    (
-        filled.unionByName(everyone)
-        .repartition(buckets, "entity_id")
-        .sortWithinPartitions("block", "entity_id")
-        .write.option("path", scratch.path("cells"))
-        .partitionBy("block")
-        .bucketBy(buckets, "entity_id")
-        .sortBy("entity_id")
-        .saveAsTable(name)
-    )
-    assert len(number) == len(props)
-    stored = spark.table(name)
+    stored = scratch.stage_bucketed(filled.unionByName(everyone), "entity_id", buckets, "block")
     wide = stored.where("block = -1").select("entity_id")
     for i, b in enumerate(blocks):
         columns = []

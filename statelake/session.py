@@ -77,6 +77,15 @@ class Scratch:
         read._scratch_path = out  # type: ignore[attr-defined]
         return read
 
+    def stage_bucketed(self, df: DataFrame, key: str, buckets: int, partition_by: str) -> DataFrame:
+        """Write ``df`` bucketed and sorted by ``key``, so that grouping and joining by it needs no shuffle. One file per bucket and partition."""
+        name = f"scratch_{uuid.uuid4().hex}"
+        placed = df.repartition(buckets, key).sortWithinPartitions(partition_by, key)
+        writer = placed.write.option("path", self.path("bucketed")).option("compression", "zstd").partitionBy(partition_by)
+        writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        atexit.register(_forget_table, self.spark, name)
+        return self.spark.table(name)
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete staged tables that no later step reads."""
         for df in frames:
@@ -84,6 +93,13 @@ class Scratch:
                 delete_path(self.spark, path)
 
 
+def _forget_table(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001 - as in _forget
+        pass
+
+
 def _forget(spark: SparkSession, root: str) -> None:
     """Results may read staged tables until the program ends; then they go."""
     try:
