@@ -72,7 +72,9 @@ def cells(records: DataFrame, props: list[tuple[str, str, bool]]) -> DataFrame:
     for kind, parse in PARSERS.items():
         text = F.when(_of_type(props, kind), parse(F.col("value")).cast("string")).otherwise(text)
     known = records.where(F.col("prop").isin([p for p, _, _ in props]) & F.col("entity_id").isNotNull())
-    values = known.select("entity_id", "prop", text.alias("cell")).where("cell is not null").groupBy("entity_id", "prop", "cell").agg(F.lit(1).alias("one"))
+    # a generator, since a plain filter on the parsed text would be pushed below it and parse every value twice
+    parsed = known.select("entity_id", "prop", F.explode(F.filter(F.array(text), lambda c: c.isNotNull())).alias("cell"))
+    values = parsed.groupBy("entity_id", "prop", "cell").agg(F.lit(1).alias("one"))
     return values.groupBy("entity_id", "prop").agg(F.min("cell").alias("cell"), F.count(F.lit(1)).alias("n"))
 
 
