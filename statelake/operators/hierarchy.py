@@ -1,7 +1,7 @@
 """Full paths, depths, roots and descendants of parent–child rows of any depth.
 
 Tree contraction. Each round removes all leaves (*rake*) and splices out an
-independent set of nodes with a single remaining child (*compress*; a node goes
+independent set of nodes with a single child (*compress*; a node goes
 if its random rank of this round is above those of its parent and that child). Removed nodes are
 recorded with the edge they had. Bushy parts vanish by raking, long chains
 shrink geometrically by compressing, so a tree of any shape is gone after a
@@ -55,13 +55,10 @@ def _round(active: DataFrame, number: int) -> DataFrame:
     nodes = active.select(
         "id", F.when(~loop, F.col("parent")).alias("parent"), "seg", "lo", F.when(loop, F.least("id", "lo")).otherwise(F.col("loop")).alias("loop")
     )
-    kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"))
+    kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"), F.min("id").alias("child"))
     counted = nodes.join(kids, "id", "left").withColumn("leaf", F.col("kids").isNull() & F.col("parent").isNotNull())
-    left = counted.where("not leaf and parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("left"), F.min("id").alias("child"))
     higher = (_rank("id", number) > _rank("parent", number)) & (_rank("id", number) > _rank("child", number))
-    marked = counted.join(left, "id", "left").withColumn(
-        "splice", F.coalesce(~F.col("leaf") & (F.col("left") == 1) & F.col("parent").isNotNull() & higher, F.lit(False))
-    )
+    marked = counted.withColumn("splice", F.coalesce((F.col("kids") == 1) & F.col("parent").isNotNull() & higher, F.lit(False)))
     spliced = marked.where("splice").select(F.col("id").alias("parent"), F.col("parent").alias("up"), F.col("seg").alias("up_seg"), F.col("lo").alias("up_lo"))
     moved = marked.join(spliced, "parent", "left")
     # a leaf below a spliced node moves up too, so that its recorded parent outlives this round
