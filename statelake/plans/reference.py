@@ -443,12 +443,17 @@ _TREE = """latest AS (SELECT id, arg_max(parent, updated_at) AS parent, arg_max(
 
 @query(f"WITH RECURSIVE {_TREE} SELECT id, path FROM walk")
 def folder_paths_recursive(t):
-    """The same paths by the engine's recursive SQL, which ``hierarchy`` replaces for deep trees."""
-    hierarchy.newest_nodes(t.folders).createOrReplaceTempView(view := f"node_{uuid.uuid4().hex[:8]}")
-    t.spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
-    return t.spark.sql(f"""WITH RECURSIVE walk(id, path, seen) AS (SELECT id, name, array(id) FROM {view} WHERE parent IS NULL
-        UNION ALL SELECT n.id, concat(w.path, '/', n.name), array_append(w.seen, n.id) FROM {view} n JOIN walk w ON n.parent = w.id WHERE NOT array_contains(w.seen, n.id))
-        SELECT id, path FROM walk""")
+    """By tree contraction: a number of rounds that is logarithmic in the depth, where recursive SQL takes one per level."""
+    return hierarchy.resolve(hierarchy.newest_nodes(t.folders)).where("depth >= 0").select("id", hierarchy.path_text().alias("path"))
+
+
+_PLACES = """WITH RECURSIVE place(name, parent, k) AS (SELECT r_name, CAST(NULL AS STRING), r_regionkey FROM {region}
+    UNION ALL SELECT n.n_name, p.name, CAST(NULL AS INT) FROM {nation} n JOIN place p ON n.n_regionkey = p.k) SELECT name, parent FROM place"""
+
+
+@query(_PLACES.replace("{region}", "region").replace("{nation}", "nation").replace("AS STRING", "AS VARCHAR"))
+def sql_recursive(t):
+    return passthrough(t, _PLACES, "region", "nation")
 
 
 @query(f"""WITH RECURSIVE {MERGED}, {_TREE},
