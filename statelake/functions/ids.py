@@ -52,9 +52,24 @@ def folder_id(name: Column, parent: Column | None = None) -> Column:
     return F.concat(F.lit("folder-"), F.sha2(own, 256))
 
 
+def path_names(path: Column) -> Column:
+    """The names along a path; ``\\`` separates like ``/``, empty and ``.`` segments mean nothing, white space is kept."""
+    return F.filter(F.split(F.translate(F.coalesce(path, F.lit("")), "\\", "/"), "/"), lambda s: (s != "") & (s != "."))
+
+
+def folder_names(key: Column) -> Column:
+    """The names of the folders in a file's key: all but the last."""
+    names = path_names(key)
+    return F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0)))
+
+
 def folder_chain(directory: Column) -> Column:
-    """Ids of the folders along a path, outermost first: each hashes its parent's id and its own name. White space is kept."""
-    names = F.filter(F.split(F.coalesce(directory, F.lit("")), "/"), lambda s: s != "")
+    """Ids of the folders along a path."""
+    return folder_ids(path_names(directory))
+
+
+def folder_ids(names: Column) -> Column:
+    """Ids of the folders with these names, outermost first: each hashes its parent's id and its own name."""
 
     def step(done: Column, name: Column) -> Column:
         last = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))

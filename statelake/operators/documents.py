@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statelake.functions.ids import file_id, folder_chain
+from statelake.functions.ids import file_id, folder_ids, folder_names, path_names
 from statelake.functions.values import mime_schema, normal_mime, public_url
 from statelake.operators.hierarchy import path_text, resolve
 
@@ -52,14 +52,13 @@ def relative_path():
     return F.concat_ws("/", F.nullif(F.col("path"), F.lit("")), F.col("name"))
 
 
-def file_entities(files: DataFrame) -> DataFrame:
-    """Entity payloads of archived files: ``id, schema, properties, origin``. The folder named by the key's directory is the parent."""
+def file_entities(files: DataFrame, *more: Column) -> DataFrame:
+    """Entity payloads of archived files: ``id, schema, properties, origin`` and ``more``. The folder named by the key's directory is the parent; a file at the root has none."""
     key = F.col("key")
-    directory = F.regexp_replace(key, "/?[^/]*$", "")
-    chain = folder_chain(directory)
+    chain = folder_ids(folder_names(key))
     values = {
         "contentHash": F.col("checksum"),
-        "fileName": F.coalesce(F.col("name"), F.regexp_extract(key, "([^/]*)$", 1)),
+        "fileName": F.coalesce(F.col("name"), F.try_element_at(path_names(key), F.lit(-1))),
         "fileSize": F.col("size").cast("string"),
         "mimeType": normal_mime(F.col("mimetype")),
         "parent": F.try_element_at(chain, F.lit(-1)),
@@ -67,14 +66,13 @@ def file_entities(files: DataFrame) -> DataFrame:
         "author": F.get_json_object("extra", "$.author"),
     }
     pairs = F.filter(F.array(*[F.struct(F.lit(p).alias("key"), F.array(v).alias("value")) for p, v in values.items()]), lambda e: e["value"][0].isNotNull())
-    return files.select(file_id(key, F.col("checksum")).alias("id"), mime_schema(F.col("mimetype")).alias("schema"), F.map_from_entries(pairs).alias("properties"), "origin")
+    return files.select(file_id(key, F.col("checksum")).alias("id"), mime_schema(F.col("mimetype")).alias("schema"), F.map_from_entries(pairs).alias("properties"), "origin", *more)
 
 
 def folder_entities(files: DataFrame) -> DataFrame:
     """Entity payloads of the folders on the way to each file, once each."""
-    directory = F.regexp_replace(F.col("key"), "/?[^/]*$", "")
-    names = F.filter(F.split(directory, "/"), lambda s: s != "")
-    rows = files.select(folder_chain(directory).alias("ids"), names.alias("names")).select(F.posexplode(F.arrays_zip("ids", "names")).alias("at", "n"), "ids")
+    names = folder_names(F.col("key"))
+    rows = files.select(folder_ids(names).alias("ids"), names.alias("names")).select(F.posexplode(F.arrays_zip("ids", "names")).alias("at", "n"), "ids")
     rows = rows.select(F.col("n.ids").alias("id"), F.col("n.names").alias("name"), F.when(F.col("at") > 0, F.element_at("ids", F.col("at"))).alias("parent")).distinct()
     pairs = F.filter(F.array(F.struct(F.lit("fileName").alias("key"), F.array("name").alias("value")), F.struct(F.lit("parent").alias("key"), F.array("parent").alias("value"))), lambda e: e["value"][0].isNotNull())
     return rows.select("id", F.lit("Folder").alias("schema"), F.map_from_entries(pairs).alias("properties"))

@@ -592,13 +592,35 @@ def documents_diff(t):
 @query("""SELECT 'file-' || sha256(key || checksum) AS id, origin, checksum, coalesce(name, '') AS name, size::VARCHAR AS size,
     'folder-' || sha256(string_split(key, '/')[1]) AS top FROM files WHERE NOT starts_with(key, '/') AND NOT starts_with(key, './') AND NOT contains(key, '//') AND contains(key, '/')""")
 def file_entities(t):
-    """Payloads of files; of the folder chain the outermost id is compared."""
+    """Payloads of plainly spelt keys with the outermost folder, as far as the SQL goes; :func:`file_entities_full` has all files and whole chains."""
     plain = t.files.where("key not like '/%' and key not like './%' and key not like '%//%' and key like '%/%'")
     made = docs.file_entities(plain.withColumn("origin", F.concat_ws("\t", F.coalesce("origin", F.lit("\n")), ids.folder_chain(F.regexp_replace("key", "/?[^/]*$", ""))[0])))
     part = F.split("origin", "\t")
     return made.select("id", F.nullif(part[0], F.lit("\n")).alias("origin"), F.col("properties")["contentHash"][0].alias("checksum"), F.col("properties")["fileName"][0].alias("name"), F.col("properties")["fileSize"][0].alias("size"), part[1].alias("top"))
 
 
+_MIMES = ", ".join(f"'{k}': '{v}'" for k, v in rules.MIME_SCHEMATA.items())
+_CHAINS = """named AS (SELECT *, list_filter(string_split(replace(coalesce(key, ''), '\\', '/'), '/'), lambda s: s NOT IN ('', '.')) AS names FROM files),
+    chained AS (SELECT *, list_transform(range(1, len(names)), lambda i: list_reduce(list_prepend('', names[:i]), lambda a, n: 'folder-' || sha256(a || n))) AS chain,
+                nullif(lower(trim(regexp_replace(mimetype, ';.*$', ''))), '') AS mime FROM named)"""
+_FILE_PROPS = ("contentHash", "fileName", "fileSize", "mimeType", "parent", "title", "author")
+
+
+@query(f"""WITH {_CHAINS} SELECT 'file-' || sha256(key || checksum) AS id, coalesce(MAP {{{_MIMES}}}[mime], 'Document') AS schema, origin, array_to_string(chain, ' ') AS chain,
+    checksum AS "contentHash", coalesce(name, names[-1]) AS "fileName", size::VARCHAR AS "fileSize", mime AS "mimeType", chain[-1] AS parent, extra ->> '$.title' AS title, extra ->> '$.author' AS author FROM chained""")
+def file_entities_full(t):
+    """Whole payloads of all files, however their keys are spelt, with the ids of all folders on the way, outermost first."""
+    chain = F.array_join(ids.folder_ids(ids.folder_names(F.col("key"))), " ").alias("chain")
+    return docs.file_entities(t.files, chain).select("id", "schema", "origin", "chain", *[F.col("properties")[p][0].alias(p) for p in _FILE_PROPS])
+
+
+@query(f"""WITH {_CHAINS} SELECT DISTINCT chain[i] AS id, 'Folder' AS schema, names[i] AS name, CASE WHEN i > 1 THEN chain[i - 1] END AS parent
+    FROM (SELECT chain, names, unnest(range(1, len(names))) AS i FROM chained)""")
+def folder_entities(t):
+    """The folders on the way to all files, each with its parent."""
+    return docs.folder_entities(t.files).select("id", "schema", F.col("properties")["fileName"][0].alias("name"), F.col("properties")["parent"][0].alias("parent"))
+
+
 # ---- SQL passthrough: joins, windows, grouping sets, set operations, functions
 
 

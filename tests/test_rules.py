@@ -98,3 +98,28 @@ def test_cells(spark, parse, cases):
     df = spark.createDataFrame([(k,) for k in [*cases, None]], "v string")
     got = {r[0]: r[1] for r in df.select("v", parse(F.col("v")).cast("string")).collect()}
     assert got == {**cases, None: None}
+
+
+def test_every_file_has_its_chain_of_folders(spark, tmp_path):
+    """All spellings of a directory give one chain, files at the root have none, and each folder of a chain is listed with its parent."""
+    from statelake.plans import reference
+
+    def chain(*names):
+        out = []
+        for n in names:
+            out.append("folder-" + hashlib.sha256(((out[-1] if out else "") + n).encode()).hexdigest())
+        return out
+
+    keys = {"top/sub /a.txt": ["top", "sub "], "/top/sub /b.txt": ["top", "sub "], "./top//sub /./c.txt": ["top", "sub "], "top\\sub \\d.txt": ["top", "sub "], "other/e.txt": ["other"], "f.txt": [], "./g.txt": []}
+    rows = [(k, f"sum{i}", None if i % 2 else "named", i, None, "crawl", None) for i, k in enumerate(keys)]
+    spark.createDataFrame(rows, "key string, checksum string, name string, size bigint, mimetype string, origin string, extra string").write.parquet(f"{tmp_path}/files.parquet")
+    got = {r["id"]: r for r in reference.queries()["file_entities_full"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(keys)
+    for (key, names), row in zip(keys.items(), rows):
+        r = got["file-" + hashlib.sha256((key + row[1]).encode()).hexdigest()]
+        want = chain(*names)
+        assert r["chain"] == " ".join(want) and r["parent"] == (want[-1] if want else None)
+        assert (r["schema"], r["contentHash"], r["fileSize"], r["fileName"]) == ("Document", row[1], str(row[3]), row[2] or key[-5:])
+    folders = {tuple(r) for r in reference.queries()["folder_entities"](spark, str(tmp_path)).select("id", "name", "parent").collect()}
+    top, sub = chain("top", "sub ")
+    assert folders == {(top, "top", None), (sub, "sub ", top), (*chain("other"), "other", None)}
