@@ -121,16 +121,20 @@ def path_text(path: str = "path"):
 
 
 def place_files(files: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``id, root_id, depth, directory`` of each file by the folder named in its key; a file without one is its own root.
+    """``id, root_id, depth, directory, name, folder_id`` of each file by the folder named in its key; a file without one is its own root.
 
-    Keys: ``\\`` separates like ``/``; empty and ``.`` segments mean nothing. Of several folders with one path the one with the smallest root counts.
+    Keys: ``\\`` separates like ``/``; empty and ``.`` segments mean nothing; the last segment is the file's name. Of several
+    folders with one path the one with the smallest root counts, then the least deep, then the one with the smallest id.
     """
     newest = files.where("id is not null").groupBy("id").agg(F.max(F.struct("updated_at", "key")).alias("r"))
     steps = F.filter(F.split(F.translate(F.coalesce("r.key", F.lit("")), "\\", "/"), "/"), lambda s: (s != "") & (s != "."))
-    keyed = newest.select("id", steps.alias("steps")).select("id", F.when(F.size("steps") > 1, F.array_join(F.slice("steps", 1, F.size("steps") - 1), "/")).alias("directory"))
-    places = resolved.where("depth >= 0").groupBy(path_text().alias("directory")).agg(F.min(F.struct("root_id", "depth")).alias("at"))
+    directory = F.when(F.size("steps") > 1, F.array_join(F.slice("steps", 1, F.size("steps") - 1), "/"))
+    keyed = newest.select("id", steps.alias("steps")).select("id", directory.alias("directory"), F.coalesce(F.try_element_at("steps", F.lit(-1)), F.lit("")).alias("name"))
+    places = resolved.where("depth >= 0").groupBy(path_text().alias("directory")).agg(F.min(F.struct("root_id", "depth", "id")).alias("at"))
     joined = keyed.join(places, "directory", "left")
-    return joined.select("id", F.coalesce("at.root_id", "id").alias("root_id"), F.coalesce(F.col("at.depth") + 1, F.lit(0)).cast("long").alias("depth"), "directory")
+    return joined.select(
+        "id", F.coalesce("at.root_id", "id").alias("root_id"), F.coalesce(F.col("at.depth") + 1, F.lit(0)).cast("long").alias("depth"), "directory", "name", F.col("at.id").alias("folder_id")
+    )
 
 
 def hierarchy_of(folders: DataFrame, files: DataFrame) -> DataFrame:
@@ -138,3 +142,15 @@ def hierarchy_of(folders: DataFrame, files: DataFrame) -> DataFrame:
     resolved = resolve(newest_nodes(folders))
     placed = place_files(files, resolved).join(resolved.select("id"), "id", "left_anti")
     return resolved.select("id", "root_id", "depth").unionByName(placed.select("id", "root_id", "depth"))
+
+
+def tree_with_files(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """What :func:`resolve` gives, with a row per file as well: its folder's path and then its own name. An id of both tables counts as a folder."""
+    resolved = resolve(newest_nodes(folders))
+    placed = place_files(files, resolved).join(resolved.select("id"), "id", "left_anti")
+    above = resolved.select(F.col("id").alias("folder_id"), F.col("path").alias("up"))
+    own = F.array(F.struct("id", "name")).cast(_SEG)
+    hung = placed.join(above, "folder_id", "left").select(
+        "id", "root_id", "depth", F.concat(F.coalesce("up", F.array().cast(_SEG)), own).alias("path"), F.lit(None).cast("string").alias("loop")
+    )
+    return resolved.unionByName(hung)

@@ -67,6 +67,20 @@ def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(_folders(spark, sf_dir))
 
 
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.tree_with_files(table(spark, sf_dir, "folders"), table(spark, sf_dir, "files"))
+
+
+def p4_node_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p4_paths`` of files as well as folders."""
+    return _nodes(spark, sf_dir).select("id", "root_id", "depth", F.when(F.col("depth") >= 0, hierarchy.path_text()).alias("full_path"))
+
+
+def p4_node_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p4_descendants`` with the files below each folder."""
+    return hierarchy.descendants(_nodes(spark, sf_dir))
+
+
 def p4_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folders(spark, sf_dir).where("depth < 0").select("id", F.col("root_id").alias("loop_id"))
 
@@ -97,8 +111,8 @@ def p7_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    p1_found, p1_deduped, p2_found, p2_entity_states, p2_shard_states, p3_found, p3_wide, p3_many_values, p4_found, p4_paths, p4_descendants, p4_loops,
-    p5_found, p5_compacted, p6_found, p7_found, p7_state,
+    p1_found, p1_deduped, p2_found, p2_entity_states, p2_shard_states, p3_found, p3_wide, p3_many_values, p4_found, p4_paths, p4_descendants, p4_node_paths, p4_node_descendants,
+    p4_loops, p5_found, p5_compacted, p6_found, p7_found, p7_state,
 )
 
 
@@ -130,6 +144,13 @@ _LOOPS = """
     climb AS (SELECT id AS start, parent AS up, [id] AS seen FROM node WHERE id NOT IN (SELECT id FROM walk)
               UNION ALL SELECT c.start, n.parent, list_append(c.seen, c.up) FROM climb c JOIN node n ON n.id = c.up WHERE NOT list_contains(c.seen, c.up)),
     loops AS (SELECT start AS id, list_min(list_slice(seen, list_position(seen, up), len(seen))) AS loop_id FROM climb WHERE list_contains(seen, up))"""
+_NODES = """
+    steps AS (SELECT id, list_filter(string_split(replace(arg_max(key, (updated_at, key)), '\\', '/'), '/'), lambda s: s NOT IN ('', '.')) AS steps FROM files GROUP BY id),
+    spot AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY full_path ORDER BY root_id, depth, id) = 1),
+    hung AS (SELECT s.id, coalesce(p.root_id, s.id) AS root_id, coalesce(p.depth + 1, 0) AS depth, concat_ws('/', p.full_path, coalesce(steps[-1], '')) AS full_path,
+                    list_append(coalesce(p.ids, []), s.id) AS ids
+             FROM steps s LEFT JOIN spot p ON len(steps) > 1 AND array_to_string(steps[:-2], '/') = p.full_path WHERE s.id NOT IN (SELECT id FROM latest)),
+    nodes AS (SELECT id, root_id, depth, full_path, ids FROM walk UNION ALL SELECT id, root_id, depth, full_path, ids FROM hung)"""
 _CHANGES = """
     n AS (SELECT *, rank() OVER (PARTITION BY id, origin, fragment ORDER BY last_seen DESC) AS r,
                  max(last_seen) OVER (PARTITION BY origin, entity_id, prop, fragment) AS g FROM statement_changes),
@@ -159,6 +180,10 @@ def oracle_sql() -> dict[str, str]:
             WITH RECURSIVE {_TREE}, {_LOOPS} SELECT id, root_id, depth, full_path FROM walk UNION ALL SELECT id, loop_id, -1, NULL FROM loops""",
         "p4_descendants": f"""
             WITH RECURSIVE {_TREE} SELECT u AS id, id AS descendant, depth - list_position(ids, u) + 1 AS distance FROM (SELECT id, depth, ids, unnest(ids[:-2]) AS u FROM walk)""",
+        "p4_node_paths": f"""
+            WITH RECURSIVE {_TREE}, {_LOOPS}, {_NODES} SELECT id, root_id, depth, full_path FROM nodes UNION ALL SELECT id, loop_id, -1, NULL FROM loops""",
+        "p4_node_descendants": f"""
+            WITH RECURSIVE {_TREE}, {_NODES} SELECT u AS id, id AS descendant, depth - list_position(ids, u) + 1 AS distance FROM (SELECT id, depth, ids, unnest(ids[:-2]) AS u FROM nodes)""",
         "p4_loops": f"WITH RECURSIVE {_TREE}, {_LOOPS} SELECT id, loop_id FROM loops",
         "p5_found": f"WITH {_FILES} SELECT file_no FROM small WHERE k > 1",
         "p6_found": """

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statelake.operators import changes, deliveries, hierarchy, increments, skew, widen
+from statelake.plans import problems
 from tests.helpers import T0, at
 
 # ---- messages delivered more than once
@@ -180,6 +181,20 @@ def test_files_and_descendants(spark):
     assert hierarchy.hierarchy_of(folders.limit(0), files.limit(0)).count() == 0
 
 
+def test_files_are_nodes_of_the_tree(spark, tmp_path):
+    """Each file has a full path, and each folder above it lists it; of equal paths the smallest root, depth and id counts."""
+    rows = [(1, "r", "root ", None, at(0)), (2, "a", "a", "r", at(0)), (3, "a2", "a", "r", at(0)), (4, "x", "x", "y", at(0)), (5, "y", "y", "x", at(0)), (6, "both", "both", "r", at(0))]
+    keys = {"f1": "./root //a/f.txt", "f2": "root \\g.txt", "f3": "root/a/f.txt", "f4": "h.txt", "f5": None, "f6": "", "f7": "x/f.txt", "both": "root /f"}
+    spark.createDataFrame(rows, FOLDERS).write.parquet(f"{tmp_path}/folders.parquet")
+    spark.createDataFrame([(i, k, v, at(0)) for i, (k, v) in enumerate(keys.items())] * 2, FILES).write.parquet(f"{tmp_path}/files.parquet")
+    paths = {r["id"]: tuple(r)[1:] for r in problems.p4_node_paths(spark, str(tmp_path)).collect()}
+    folders = {"r": ("r", 0, "root "), "a": ("r", 1, "root /a"), "a2": ("r", 1, "root /a"), "both": ("r", 1, "root /both"), "x": ("x", -1, None), "y": ("x", -1, None)}
+    alone = {"f3": ("f3", 0, "f.txt"), "f4": ("f4", 0, "h.txt"), "f5": ("f5", 0, ""), "f6": ("f6", 0, ""), "f7": ("f7", 0, "f.txt")}
+    assert paths == folders | alone | {"f1": ("r", 2, "root /a/f.txt"), "f2": ("r", 1, "root /g.txt")}
+    below = sorted(map(tuple, problems.p4_node_descendants(spark, str(tmp_path)).collect()))
+    assert below == [("a", "f1", 1), ("r", "a", 1), ("r", "a2", 1), ("r", "both", 1), ("r", "f1", 2), ("r", "f2", 1)]
+
+
 # ---- increments
 
 STATEMENTS = "row_no bigint, batch_no bigint, id string, origin string, fragment string, entity_id string, last_seen timestamp_ntz, deleted_at timestamp_ntz"
