@@ -101,8 +101,11 @@ def mime_schema(mime: Column) -> Column:
     return F.coalesce(table[normal_mime(mime)], F.lit("Document"))
 
 
-def public_url(template: str | None, dataset: str, key: Column) -> Column:
-    """The public address of an archive key; ``${dataset}`` in the template is replaced. Null without a template."""
+def public_url(template: str | None, dataset: str | Column, key: Column) -> Column:
+    """The public address of an archive key; ``${dataset}`` in the template is replaced, by a name or by each row's own. Null without a template."""
     if not template:
         return F.lit(None).cast("string")
+    if isinstance(dataset, Column):
+        first, *others = (Template(template).safe_substitute(dataset="\0").rstrip("/") + "/").split("\0")
+        return F.concat(F.lit(first), *[c for text in others for c in (dataset, F.lit(text))], key)
     return F.concat(F.lit(Template(template).safe_substitute(dataset=dataset).rstrip("/") + "/"), key)

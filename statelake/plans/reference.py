@@ -203,9 +203,8 @@ def mime_rules(t):
 
 @query("SELECT row_no, 'https://data.example.org/' || dataset || '/' || checksum AS url, concat_ws('/', nullif(regexp_replace(key, '/?[^/]*$', ''), ''), name) AS relative FROM files")
 def public_urls(t):
-    dataset = t.files.select("dataset").first()["dataset"]
     path = F.regexp_replace("key", "/?[^/]*$", "").alias("path")
-    rows = t.files.select("row_no", "name", path, rules.public_url("https://data.example.org/${dataset}", dataset, F.col("checksum")).alias("url"))
+    rows = t.files.select("row_no", "name", path, rules.public_url("https://data.example.org/${dataset}", F.col("dataset"), F.col("checksum")).alias("url"))
     return rows.select("row_no", "url", docs.relative_path().alias("relative"))
 
 

@@ -123,3 +123,15 @@ def test_every_file_has_its_chain_of_folders(spark, tmp_path):
     folders = {tuple(r) for r in reference.queries()["folder_entities"](spark, str(tmp_path)).select("id", "name", "parent").collect()}
     top, sub = chain("top", "sub ")
     assert folders == {(top, "top", None), (sub, "sub ", top), (*chain("other"), "other", None)}
+
+
+def test_public_urls_take_each_rows_dataset(spark, tmp_path):
+    from statelake.plans import reference
+
+    files = spark.createDataFrame([(1, "quay", "a/b.txt", "b.txt", "c1"), (2, "port", "d.txt", "d.txt", "c2"), (3, None, "e.txt", "e.txt", "c3")], "row_no bigint, dataset string, key string, name string, checksum string")
+    files.write.parquet(f"{tmp_path}/some/files.parquet")
+    files.limit(0).write.parquet(f"{tmp_path}/none/files.parquet")
+    run = reference.queries()["public_urls"]
+    got = {r["row_no"]: (r["url"], r["relative"]) for r in run(spark, f"{tmp_path}/some").collect()}
+    assert got == {1: ("https://data.example.org/quay/c1", "a/b.txt"), 2: ("https://data.example.org/port/c2", "d.txt"), 3: (None, "e.txt")}
+    assert run(spark, f"{tmp_path}/none").count() == 0
