@@ -33,6 +33,7 @@ from statelake.schema import NAMES
 CONTENT = ["shard", "bucket", "origin", "entity_id", "fragment", "prop", "id"]
 GROUP = CONTENT[:-1]
 SORT = ["entity_id", "fragment", "prop", "id", "last_seen"]
+SAMPLE = 10_000
 TIES = ["last_seen", "deleted_at", "original_value", "lang", "prop_type", "source", "value", "schema", "dataset", "external"]
 
 
@@ -103,15 +104,28 @@ def slice_count(partition_bytes: int, memory: int | str, factor: int = 32, fallb
 
 
 def merge_range(raw: DataFrame, lo: str | None, hi: str | None, cutoff: datetime | str | None = None) -> DataFrame:
-    """The merge of the entities in ``[lo, hi)``; the ranges of :func:`slice_ranges` together give the whole merge."""
+    """The merge of the entities in ``[lo, hi)``, in the first range also of null ids; the ranges of :func:`slice_ranges` together give the whole merge."""
     rows = raw
     if lo is not None:
         rows = rows.where(F.col("entity_id") >= lo)
     if hi is not None:
-        rows = rows.where(F.col("entity_id") < hi)
+        below = F.col("entity_id") < hi
+        rows = rows.where(below if lo is not None else below | F.col("entity_id").isNull())
     return merge(rows, cutoff)
 
 
+def sampled_ranges(raw: DataFrame, slices: int, size: int = SAMPLE) -> list[tuple[str | None, str | None]]:
+    """:func:`slice_ranges` over a sample of about ``size`` of the table's ids, which is all that the driver receives."""
+    ids = raw.where("entity_id is not null").select("entity_id")
+    share = min(1.0, size / max(1, ids.count()))
+    return slice_ranges([r[0] for r in (ids.sample(share, seed=0) if share < 1 else ids).collect()], slices)
+
+
+def merge_sliced(raw: DataFrame, slices: int, cutoff: datetime | str | None = None) -> DataFrame:
+    """The merge, one range of entities after the other, with bounds taken from the table."""
+    return reduce(DataFrame.unionByName, [merge_range(raw, lo, hi, cutoff) for lo, hi in sampled_ranges(raw, slices)])
+
+
 def last_wins(rows: DataFrame, sequence: str) -> DataFrame:
     """One row per ``(id, origin, fragment)`` of a batch: the last by ``sequence``."""
     others = [F.col(c) for c in rows.columns if c != sequence]

@@ -24,11 +24,13 @@ from statelake.registry import Registry
 from statelake.schema import NAMES, conform, live_view, raw_view
 from statelake.session import Scratch, table
 from statelake.sources import files as fmt
+from statelake.sources.paths import Folder
 from statelake.sources.store import StatementStore
 from statelake.streaming import journal as jr
 
 CUTOFF = "2024-09-01 00:00:00"
 SINCE = "2024-11-01 00:00:00"
+LEAST_SLICES = 4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -296,12 +298,10 @@ def tombstone_reap(t):
 
 @query(f"WITH {MERGED} SELECT {_CORE} FROM merged")
 def merge_range_sliced(t):
-    ranges = [(None, "com-"), ("com-", "file-5"), ("file-5", "org-"), ("org-", None)]
-    parts = [mrg.merge_range(t.raw, lo, hi) for lo, hi in ranges]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*CORE)
+    """As many slices as an executor's memory asks for, but at least ``LEAST_SLICES``, so that small tables are sliced too."""
+    size = sum(n for _, n in Folder(t.spark, t.dir).walk("statements.parquet"))
+    memory = t.spark.sparkContext.getConf().get("spark.executor.memory", "8g").lower().removesuffix("b") + "b"
+    return mrg.merge_sliced(t.raw, max(LEAST_SLICES, mrg.slice_count(size, memory))).select(*CORE)
 
 
 # ---- entity queries

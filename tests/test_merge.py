@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from statelake.operators.merge import last_wins, merge, merge_by_windows, merge_range, slice_count, slice_ranges
+from statelake.operators.merge import last_wins, merge, merge_by_windows, merge_range, merge_sliced, sampled_ranges, slice_count, slice_ranges
 from tests.helpers import at, statement as s, statements
 
 
@@ -103,6 +103,17 @@ def test_ranges_tile_the_merge(spark):
     assert sorted(parts, key=str) == sorted(rows(merge(raw)), key=str)
 
 
+def test_slices_follow_the_ids_of_the_table(spark):
+    """Bounds come from the ids, whatever their prefixes, and rows without an entity are in one slice."""
+    log = [s(f"s{i}", f"zz{i % 40:02d}", value=str(i), first=float(i % 7)) for i in range(200)] + [s("none", None, first=1), s("none", None, first=2)]
+    raw = statements(spark, *log)
+    ranges = sampled_ranges(raw, 4)
+    sizes = [len(rows(merge_range(raw, lo, hi))) for lo, hi in ranges]
+    assert len(ranges) == 4 and min(sizes) > 30 and sum(sizes) == 201
+    assert sorted(rows(merge_sliced(raw, 4)), key=str) == sorted(rows(merge(raw)), key=str)
+    assert rows(merge_sliced(raw.limit(0), 4)) == []
+
+
 def test_slice_helpers():
     assert slice_ranges(["a"] * 10, 4) == [(None, None)]
     assert slice_ranges([], 3) == [(None, None)]
