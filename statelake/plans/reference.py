@@ -568,6 +568,12 @@ def diff_envelopes(t):
     return feeds.diff(t.merged, SINCE, t.registry).select("op", "id", F.coalesce(F.size("entity.properties"), F.lit(0)).cast("long").alias("props")).withColumn("props", F.greatest("props", F.lit(0)))
 
 
+@query()
+def diff_envelope_lines(t):
+    """The change feed's JSON lines themselves: whole entities for ADD, ids for DEL. SQL cannot render the same JSON; a test holds them against brute force."""
+    return feeds.envelopes(feeds.diff(t.merged, SINCE, t.registry))
+
+
 _DOCS = f"""{_ENTITY}, {_TREE},
     d AS (SELECT s.entity_id AS id, min(value) FILTER (WHERE prop = 'contentHash') AS checksum, min(value) FILTER (WHERE prop = 'fileName') AS name,
           coalesce(min(value) FILTER (WHERE prop = 'mimeType'), 'application/octet-stream') AS mimetype, coalesce(TRY_CAST(min(value) FILTER (WHERE prop = 'fileSize') AS BIGINT), 0) AS size

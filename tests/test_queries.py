@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from statelake.plans.query import C, Compiler, G, M, P, Query, QueryError, parse, parse_flat, parse_rql
 from statelake.registry import Registry
 from statelake.schema import live_view
-from tests.helpers import statement as s, statements
+from tests.helpers import at, statement as s, statements
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +99,42 @@ def test_partition_prunes(spark, live, root):
     plan = Compiler(Registry(), 16).statements(stored, Query(M(schema="Person"), M(entity_id="jane")))._jdf.queryExecution().executedPlan().toString()
     assert "bucket" in plan.split("PartitionFilters")[1].split("]")[0] and "shard" in plan.split("PartitionFilters")[1].split("]")[0]
     assert "PushedFilters: [" in plan
+
+
+def test_envelope_lines_hold_whole_entities(spark, tmp_path):
+    """Against brute force: every value, caption and date of a changed entity; of a deleted one its id."""
+    import json
+
+    from statelake.plans import reference
+
+    late = 310.0  # after reference.SINCE
+    log = [
+        s("1", "new", "name", 'Jane "J" Doe', schema="Person", first=late), s("2", "new", "name", "Ann", schema="Person", first=1), s("3", "new", "country", "de", schema="Person", prop_type="country", first=2, origin="b"),
+        s("4", "new", "id", "sum", schema="Person", first=3), s("5", "old", "name", "Acme", first=1), s("6", "gone", "name", "Gone", first=1), s("6", "gone", "name", "Gone", first=1, last=late, deleted=late), s("7", "back", "name", "Back", first=late),
+        s("8", "back", "alias", "B", first=1, last=late, deleted=late),
+    ]
+    raw = statements(spark, *log)
+    raw.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in raw.dtypes]).write.parquet(f"{tmp_path}/statements.parquet")
+    spark.createDataFrame([("Person", "name", "name", "string", True)], "schema string, prop string, prop_type string, cell_type string, many boolean").write.parquet(f"{tmp_path}/schema_props.parquet")
+    lines = [json.loads(r["value"]) for r in reference.queries()["diff_envelope_lines"](spark, str(tmp_path)).collect()]
+
+    changed = {r["entity_id"] for r in log if r["first_seen"] >= at(305) or (r["deleted_at"] and r["deleted_at"] >= at(305))}
+    dead = {r["id"] for r in log if r["deleted_at"]}
+    want = {}
+    for e in changed:
+        live = [r for r in log if r["entity_id"] == e and r["id"] not in dead]
+        named = [r for r in live if r["prop"] != "id"]
+        if not live:
+            want[e] = ("DEL", {"id": e})
+            continue
+        props = {p: sorted(r["value"] for r in named if r["prop"] == p) for p in {r["prop"] for r in named}}
+        stamp = lambda t: t.strftime("%Y-%m-%dT%H:%M:%S")
+        body = {
+            "id": e, "schema": live[0]["schema"], "caption": props["name"][0], "properties": props, "referents": [], "datasets": ["ds"], "origin": sorted({r["origin"] for r in live}),
+            "first_seen": stamp(min(r["first_seen"] for r in named)), "last_seen": stamp(max(r["last_seen"] for r in named)),
+        }
+        sums = [r["first_seen"] for r in live if r["prop"] == "id"]
+        want[e] = ("ADD", body | ({"last_change": stamp(max(sums))} if sums else {}))
+    cut = lambda v: v[:19] if isinstance(v, str) else v
+    got = {x["entity"]["id"]: (x["op"], {k: cut(v) if k.endswith(("_seen", "_change")) else v for k, v in x["entity"].items()}) for x in lines}
+    assert len(lines) == len(got) == 3 and got == want
