@@ -85,10 +85,6 @@ def p4_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folders(spark, sf_dir).where("depth < 0").select("id", F.col("root_id").alias("loop_id"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smallfiles.plan(table(spark, sf_dir, "statement_files")).select("file_no")
-
-
 def p5_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "smallfiles")
     planned = smallfiles.plan(table(spark, sf_dir, "statement_files"))
@@ -98,6 +94,11 @@ def p5_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.stage(report, "report").select("file_no", "rows", "bin")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that validated copies have consumed."""
+    return p5_compacted(spark, sf_dir).select("file_no")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return increments.increment_after_runs(table(spark, sf_dir, "statements"), table(spark, sf_dir, "export_runs"))
 
