@@ -101,3 +101,17 @@ def test_wrong_row_count_stops_the_run(spark, tmp_path):
     df = spark.createDataFrame([("b", 1, 3, bytearray(image(pa.table({"a": [1]}))))], "bin string, file_no bigint, num_rows bigint, image binary")
     with pytest.raises(Exception, match="the log says 3 rows"):
         smallfiles.compact(df, f"file://{tmp_path}/out", 1).collect()
+
+
+def test_files_found_are_those_that_were_copied(spark, tmp_path):
+    """A file that does not hold the rows its log entry names fails the query: the listing alone is not the job."""
+    from pyspark.sql import functions as F
+
+    from statelake.plans import problems
+    from tests.oracle import DATA
+
+    spark.read.parquet(f"{DATA}/statements.parquet").write.parquet(f"{tmp_path}/statements.parquet")
+    log = spark.read.parquet(f"{DATA}/statement_files.parquet")
+    log.withColumn("num_rows", F.col("num_rows") + 1).write.parquet(f"{tmp_path}/statement_files.parquet")
+    with pytest.raises(Exception, match="the log says"):
+        problems.p5_found(spark, str(tmp_path)).collect()
