@@ -4,6 +4,12 @@ No page is decompressed or decoded. The column chunks of each input are copied
 byte for byte; only the footer is new: the row groups of all inputs, with every
 file offset moved by the distance its bytes travelled.
 
+Small chunks of one column are laid behind each other and form one chunk of
+several pages (a *merged* row group), if they are compatible: without a
+dictionary page, of one codec and one set of encodings. Others keep their row
+groups. A merged chunk states no minimum and maximum, since those of its pages
+would have to be decoded.
+
 The footer is a struct in the public thrift compact protocol. It is walked, not
 decoded: fields this module does not know are copied as the bytes they are, and
 only the numbers that change are written anew.
@@ -14,6 +20,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 MAGIC = b"PAR1"
 
 # Wire types of the thrift compact protocol.
@@ -27,6 +36,12 @@ CHUNK_INDEX_FIELDS = {4, 5, 6, 7}  # page index: lies outside the chunks and is
 META_PACKED, META_DATA_PAGE, META_INDEX_PAGE, META_DICTIONARY_PAGE = 7, 9, 10, 11
 META_OFFSETS = {META_DATA_PAGE, META_INDEX_PAGE, META_DICTIONARY_PAGE}
 META_BLOOM_FIELDS = {14, 15}
+META_KIND_FIELDS = {1, 2, 3, 4}  # type, encodings, path, codec: equal for all pages of one chunk
+META_VALUES, META_UNPACKED = 5, 6
+
+# A chunk below this size is merged with its like; a merged row group is closed at this size.
+MERGE_BELOW = 1 << 20
+GROUP_BYTES = 64 << 20
 
 
 class IncompatibleFiles(ValueError):
@@ -143,6 +158,19 @@ def footer_of(image: bytes) -> bytes:
     return image[-8 - size : -8]
 
 
+def schema_of(image: bytes) -> bytes:
+    """The footer's schema, as the bytes it is stored in."""
+    data, at, last = footer_of(image), 0, 0
+    while data[at]:
+        field, kind, at = _read_field(data, at, last)
+        last = field
+        end = _skip(data, at, kind)
+        if field == FILE_SCHEMA:
+            return data[at:end]
+        at = end
+    raise IncompatibleFiles("the footer has no schema")
+
+
 def _walk_meta(data: bytes, at: int, out: list) -> tuple[int, int, int]:
     """Copy a chunk's metadata to ``out``, offsets as numbers. Returns the position after it and the byte range of the pages."""
     last = kept = first = dictionary = packed = 0
@@ -234,6 +262,102 @@ def _walk_group(data: bytes, at: int, ordinal: int) -> tuple[int, list, int, int
     return at + 1, out, rows, hi if lo is None else lo, hi
 
 
+def _kinds(data: bytes) -> list[bytes]:
+    """Of each column of the first row group, what :data:`META_KIND_FIELDS` hold, as bytes ready to be written."""
+    at = last = 0
+    found: list[bytes] = []
+    while data[at]:
+        field, kind, at = _read_field(data, at, last)
+        last = field
+        if field != FILE_GROUPS:
+            at = _skip(data, at, kind)
+            continue
+        size, _, at = _read_list(data, at)
+        inner = 0
+        while data[at]:
+            field, kind, at = _read_field(data, at, inner)
+            inner = field
+            if field != GROUP_COLUMNS:
+                at = _skip(data, at, kind)
+                continue
+            columns, _, at = _read_list(data, at)
+            for _ in range(columns):
+                at, value = _kind_of_chunk(data, at)
+                found.append(value)
+        break
+    return found
+
+
+def _kind_of_chunk(data: bytes, at: int) -> tuple[int, bytes]:
+    last, value = 0, b""
+    while data[at]:
+        field, kind, at = _read_field(data, at, last)
+        last = field
+        end = _skip(data, at, kind)
+        if field == CHUNK_META:
+            inner = kept = 0
+            out = []
+            while data[at]:
+                part, of, at = _read_field(data, at, inner)
+                inner = part
+                stop = _skip(data, at, of)
+                if part in META_KIND_FIELDS:
+                    out += (_head(part, kept, of), data[at:stop])
+                    kept = part
+                at = stop
+            value = b"".join(out)
+        at = end
+    return at + 1, value
+
+
+class _Merged:
+    """One row group under way: per column the pages taken up so far."""
+
+    def __init__(self, signature: tuple, kinds: list[bytes]):
+        self.signature, self.kinds = signature, kinds
+        self.pages: list[list[bytes]] = [[] for _ in kinds]
+        self.sums = [[0, 0, 0] for _ in kinds]  # values, bytes unpacked, bytes packed
+        self.rows = self.bytes = 0
+
+    def add(self, image: bytes, rows: int, spans: list[tuple[int, int, int, int]]) -> None:
+        for pages, sums, (start, packed, unpacked, values) in zip(self.pages, self.sums, spans):
+            pages.append(image[start : start + packed])
+            sums[0] += values
+            sums[1] += unpacked
+            sums[2] += packed
+            self.bytes += packed
+        self.rows += rows
+
+    def entry(self, at: int, ordinal: int) -> tuple[bytes, list[bytes]]:
+        """The row group's footer entry for pages that begin at ``at``, and the pages."""
+        out, body, start = [_head(GROUP_COLUMNS, 0, LIST), _list_head(len(self.kinds))], [], at
+        for kind, pages, (values, unpacked, packed) in zip(self.kinds, self.pages, self.sums):
+            meta = kind + _head(META_VALUES, max(META_KIND_FIELDS), I64) + _int(values) + _head(META_UNPACKED, META_VALUES, I64) + _int(unpacked)
+            meta += _head(META_PACKED, META_UNPACKED, I64) + _int(packed) + _head(META_DATA_PAGE, META_PACKED, I64) + _int(at) + b"\0"
+            out += (_head(CHUNK_OFFSET, 0, I64), _int(at), _head(CHUNK_META, CHUNK_OFFSET, STRUCT), meta, b"\0")
+            body += pages
+            at += packed
+        out += (_head(2, GROUP_COLUMNS, I64), _int(sum(s[1] for s in self.sums)), _head(GROUP_ROWS, 2, I64), _int(self.rows), _head(GROUP_OFFSET, GROUP_ROWS, I64), _int(start))
+        out += (_head(6, GROUP_OFFSET, I64), _int(self.bytes), _head(GROUP_ORDINAL, 6, I16), _int(ordinal)) if ordinal < 32768 else ()
+        return b"".join([*out, b"\0"]), body
+
+
+def _mergeable(meta: pq.FileMetaData) -> list[tuple[int, tuple, list[tuple[int, int, int, int]]]] | None:
+    """Rows, signature and page spans of each row group; ``None`` if a chunk is large or has a dictionary page."""
+    found = []
+    for i in range(meta.num_row_groups):
+        group = meta.row_group(i)
+        signature, spans = [], []
+        for j in range(group.num_columns):
+            chunk = group.column(j)
+            if chunk.has_dictionary_page or chunk.total_compressed_size > MERGE_BELOW:
+                return None
+            signature.append((chunk.compression, chunk.encodings))
+            spans.append((chunk.data_page_offset, chunk.total_compressed_size, chunk.total_uncompressed_size, chunk.num_values))
+        found.append((group.num_rows, tuple(signature), spans))
+    return found
+
+
 class BlockCopier:
     """Collects parquet images into one larger image."""
 
@@ -241,40 +365,83 @@ class BlockCopier:
         self.body: list[bytes] = [MAGIC]
         self.size = len(MAGIC)
         self.head: list[tuple[int, int, bytes]] | None = None
-        self.schema = b""
+        self.schema = self.start = b""
         self.groups: list[bytes] = []
-        self.rows = self.files = 0
+        self.merged: _Merged | None = None
+        self.rows = self.files = self.blocks = 0  # blocks: row groups taken up
 
     def add(self, image: bytes) -> int:
         """Copy one file's column chunks; returns its number of rows. Its schema must equal that of the first file."""
-        data, at, last = footer_of(image), 0, 0
-        head: list[tuple[int, int, bytes]] = []
-        found: list[tuple[list, int, int, int]] = []
-        schema, stated = b"", -1
+        data = footer_of(image)
+        # a footer begins with the version and the schema: the same bytes mean the same schema
+        if self.head is None or not data.startswith(self.start):
+            self._take_head(data)
+        try:
+            meta = pq.read_metadata(pa.BufferReader(image))
+        except (pa.ArrowException, OSError) as error:
+            raise IncompatibleFiles(str(error)) from error
+        parts = _mergeable(meta)
+        rows = self._copy_groups(data, image) if parts is None else self._merge_groups(data, image, parts)
+        if rows != meta.num_rows:
+            raise IncompatibleFiles("row groups and footer disagree on the number of rows")
+        self.blocks += meta.num_row_groups
+        self.rows += rows
+        self.files += 1
+        return rows
+
+    def _take_head(self, data: bytes) -> None:
+        """Check the schema; of the first file also keep all file-level fields."""
+        at = last = 0
+        head, schema, start = [], b"", b""
         while data[at]:
             field, kind, at = _read_field(data, at, last)
             last = field
-            if field == FILE_GROUPS:
-                size, _, at = _read_list(data, at)
-                for _ in range(size):
-                    at, entry, rows, lo, hi = _walk_group(data, at, len(self.groups) + len(found))
-                    found.append((entry, rows, lo, hi))
-                head.append((field, kind, b""))
-                continue
             end = _skip(data, at, kind)
             if field == FILE_SCHEMA:
-                schema = data[at:end]
-            elif field == FILE_ROWS:
-                stated, _ = _read_int(data, at)
-            head.append((field, kind, data[at:end]))
+                schema, start = data[at:end], data[:end]
+            head.append((field, kind, b"" if field == FILE_GROUPS else data[at:end]))
             at = end
-        seen = sum(rows for _, rows, _, _ in found)
-        if seen != stated:
-            raise IncompatibleFiles("row groups and footer disagree on the number of rows")
         if self.head is None:
-            self.head, self.schema = head, schema
+            self.head, self.schema, self.start = head, schema, start
         elif schema != self.schema:
             raise IncompatibleFiles("schemas differ")
+
+    def _merge_groups(self, data: bytes, image: bytes, parts: list) -> int:
+        for rows, signature, spans in parts:
+            if not rows:
+                continue
+            if any(not 4 <= start <= start + packed <= len(image) for start, packed, _, _ in spans):
+                raise IncompatibleFiles("a column chunk lies outside of the file")
+            if self.merged is not None and (self.merged.signature != signature or self.merged.bytes > GROUP_BYTES):
+                self._close_group()
+            if self.merged is None:
+                self.merged = _Merged(signature, _kinds(data))
+            self.merged.add(image, rows, spans)
+        return sum(rows for rows, _, _ in parts)
+
+    def _close_group(self) -> None:
+        if self.merged is not None:
+            entry, pages = self.merged.entry(self.size, len(self.groups))
+            self.groups.append(entry)
+            self.body += pages
+            self.size += self.merged.bytes
+            self.merged = None
+
+    def _copy_groups(self, data: bytes, image: bytes) -> int:
+        """Row groups as they are."""
+        self._close_group()
+        at = last = 0
+        found: list[tuple[list, int, int, int]] = []
+        while data[at]:
+            field, kind, at = _read_field(data, at, last)
+            last = field
+            if field != FILE_GROUPS:
+                at = _skip(data, at, kind)
+                continue
+            size, _, at = _read_list(data, at)
+            for _ in range(size):
+                at, entry, rows, lo, hi = _walk_group(data, at, len(self.groups) + len(found))
+                found.append((entry, rows, lo, hi))
         for entry, _, lo, hi in found:
             if not 4 <= lo <= hi <= len(image):
                 raise IncompatibleFiles("a column chunk lies outside of the file")
@@ -282,13 +449,12 @@ class BlockCopier:
             self.body.append(image[lo:hi])
             self.size += hi - lo
             self.groups.append(b"".join([_int(p + distance) if type(p) is int else p for p in entry]))
-        self.rows += seen
-        self.files += 1
-        return seen
+        return sum(rows for _, rows, _, _ in found)
 
     def finish(self) -> bytes:
         if self.head is None:
             raise IncompatibleFiles("no input")
+        self._close_group()
         out, last = [], 0
         for field, kind, value in self.head:
             out.append(_head(field, last, kind))

@@ -7,32 +7,39 @@ Three steps, each usable alone:
   bins of about the target size. The number of bins follows from the group's
   total, and a file's bin from a hash of its number, so no group is ever
   gathered in one task, even if it holds a third of all files.
-* ``compact`` copies the encoded column chunks of each bin into one larger file
-  (:mod:`parquet_blocks`), without decoding a page, and validates the result:
-  equal schemas, row groups in = row groups out, rows in = rows out, read again
-  by an independent parquet reader. Output names derive from the bin's content,
-  so a repeated task overwrites its own file, and the new file appears by one
-  rename. The returned report is the basis of one atomic log commit.
+* ``compact_files`` copies the encoded column chunks of each bin into one larger
+  file (:mod:`parquet_blocks`), without decoding a page, and validates the
+  result: equal schemas, blocks taken up = blocks of the inputs, rows in = rows
+  out and as the log states them, read again by an independent parquet reader.
+  The copying task opens the files itself, so only their paths are shuffled.
+  Output names derive from the bin and the schema, so a repeated task overwrites
+  its own file, and the new file appears by one rename. The returned report is
+  the basis of one atomic log commit.
+
+``compact_rows`` is the same copy for files that exist only as rows of a table:
+the copying task forms each file's image from its rows and copies that.
 
 Edge cases: a file number whose newest actions contradict each other is live if
 one of them is ``add`` and none is ``remove``; files without actions are not
 live; null sizes are not small; null partition values form a group of their own;
-repeated actions count once; files of different schemas are never mixed (the
-schema's digest is part of the bin when images are given); empty logs give empty plans.
+repeated actions count once; a bin whose files have different schemas gives one
+file per schema; a planned file without any row is copied as an empty one; empty
+logs give empty plans.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statelake.operators.parquet_blocks import BlockCopier
+from statelake.operators.parquet_blocks import BlockCopier, schema_of
 
 SMALL_BYTES = 16384
 TARGET_BYTES = 128 << 20
@@ -40,6 +47,10 @@ MAX_FILES = 2000
 GROUP = ["shard", "bucket", "origin"]
 
 REPORT = "bin string, file_no bigint, rows bigint, out_path string, out_bytes bigint"
+_REPORT = pa.schema([("bin", pa.string()), ("file_no", pa.int64()), ("rows", pa.int64()), ("out_path", pa.string()), ("out_bytes", pa.int64())])
+
+#: bin, file number, rows that the log states (or ``None``), image
+Images = Iterator[tuple[str, int, int | None, bytes]]
 
 
 def live_files(actions: DataFrame) -> DataFrame:
@@ -77,92 +88,131 @@ def _publish(copier: BlockCopier, name: str, folder: str) -> tuple[str, int]:
     if meta.num_rows != copier.rows or meta.num_row_groups != len(copier.groups):
         raise ValueError(f"{name}: {meta.num_rows} rows in {meta.num_row_groups} groups, expected {copier.rows} in {len(copier.groups)}")
     fs, root = pa.fs.FileSystem.from_uri(folder)
-    fs.create_dir(root, recursive=True)
-    draft, final = f"{root}/.{name}.{hashlib.sha1(image).hexdigest()[:8]}", f"{root}/{name}.parquet"
+    directory = f"{root}/{name}".rpartition("/")[0]
+    fs.create_dir(directory, recursive=True)
+    draft, final = f"{directory}/.{hashlib.sha1(image).hexdigest()[:12]}.draft", f"{root}/{name}.parquet"
     with fs.open_output_stream(draft) as out:
         out.write(image)
     fs.move(draft, final)
-    return f"{folder}/{name}.parquet", len(image)
+    return f"{name}.parquet", len(image)
+
+
+class _Bin:
+    """The copy of one bin under way: a copier and its files per schema."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self.parts: dict[bytes, tuple[BlockCopier, list[int], list[int]]] = {}
+
+    def add(self, number: int, expected: int | None, image: bytes) -> None:
+        schema = schema_of(image)
+        if schema not in self.parts:
+            self.parts[schema] = (BlockCopier(), [], [])
+        copier, numbers, rows = self.parts[schema]
+        got = copier.add(image)
+        if expected is not None and expected != got:
+            raise ValueError(f"file {number}: the log says {expected} rows, the file holds {got}")
+        numbers.append(number)
+        rows.append(got)
+
+    def close(self, folder: str) -> Iterator[pa.RecordBatch]:
+        for schema, (copier, numbers, rows) in self.parts.items():
+            path, size = _publish(copier, f"{self.name}-{hashlib.sha1(schema).hexdigest()[:8]}", folder)
+            n = len(numbers)
+            yield pa.RecordBatch.from_pydict({"bin": [self.name] * n, "file_no": numbers, "rows": rows, "out_path": [path] * n, "out_bytes": [size] * n}, schema=_REPORT)
 
 
-def _copy(folder: str):
-    """Per partition, rows sorted by bin: copy the images of each bin and report one row per input file."""
+def _copy(images: Images, folder: str) -> Iterator[pa.RecordBatch]:
+    """Copy images sorted by bin, one bin at a time; one report row per input file."""
+    bin_ = None
+    for name, number, expected, image in images:
+        if bin_ is None or name != bin_.name:
+            if bin_ is not None:
+                yield from bin_.close(folder)
+            bin_ = _Bin(name)
+        bin_.add(number, expected, image)
+    if bin_ is not None:
+        yield from bin_.close(folder)
 
+
+def _copier(folder: str, images: Callable[[Iterator[pa.RecordBatch]], Images]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, copier, numbers, rows = None, None, [], []
+        return _copy(images(batches), folder)
 
-        def close():
-            path, size = _publish(copier, name, folder)
-            n = len(numbers)
-            return pa.RecordBatch.from_pydict(
-                {"bin": [name] * n, "file_no": numbers, "rows": rows, "out_path": [path] * n, "out_bytes": [size] * n},
-                schema=pa.schema([("bin", pa.string()), ("file_no", pa.int64()), ("rows", pa.int64()), ("out_path", pa.string()), ("out_bytes", pa.int64())]),
-            )
+    return run
+
+
+def _opened(source: str):
+    """Images of the files named by batches of ``bin, file_no, num_rows, path``, opened one after the other."""
 
+    def images(batches: Iterator[pa.RecordBatch]) -> Images:
+        fs, root = pa.fs.FileSystem.from_uri(source)
         for batch in batches:
-            for group, number, expected, image in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                if group != name:
-                    if copier is not None:
-                        yield close()
-                    name, copier, numbers, rows = group, BlockCopier(), [], []
-                got = copier.add(image)
-                if expected is not None and expected != got:
-                    raise ValueError(f"file {number}: the log says {expected} rows, the file holds {got}")
-                numbers.append(number)
-                rows.append(got)
-        if copier is not None:
-            yield close()
+            for name, number, expected, path in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                with fs.open_input_stream(f"{root}/{path}") as f:
+                    yield name, number, expected, f.read()
 
-    return run
+    return images
 
 
-def compact(images: DataFrame, folder: str, partitions: int) -> DataFrame:
-    """Copy ``images`` (``bin, file_no, num_rows, image``) into one file per bin below ``folder``; returns ``REPORT`` rows.
+def compact_files(planned: DataFrame, source: str, folder: str, partitions: int) -> DataFrame:
+    """Copy the files of a plan (``bin, file_no, num_rows, path``; paths relative to ``source``) into one file per bin and schema below ``folder``.
 
-    A bin is bounded by ``TARGET_BYTES`` and ``MAX_FILES``, so a task holds one bin at a time.
+    Returns ``REPORT`` rows, ``out_path`` relative to ``folder``. A bin is bounded by ``TARGET_BYTES`` and ``MAX_FILES``, and a task holds
+    one bin at a time.
     """
-    placed = images.select("bin", "file_no", "num_rows", "image").repartition(partitions, "bin").sortWithinPartitions("bin", "file_no")
-    return placed.mapInArrow(_copy(folder), REPORT)
+    placed = planned.select("bin", F.col("file_no").cast("long"), F.col("num_rows").cast("long"), "path").repartition(partitions, "bin").sortWithinPartitions("bin", "file_no")
+    return placed.mapInArrow(_copier(folder, _opened(source)), REPORT)
+
 
+def _encode(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    pq.write_table(rows, sink, compression="snappy", use_dictionary=False, write_statistics=False, store_schema=False)
+    return sink.getvalue().to_pybytes()
 
-def images_from_files(planned: DataFrame, paths: DataFrame) -> DataFrame:
-    """Attach the bytes of physical files (``path``, one per ``file_no``) to a plan, read by the tasks and not by the driver."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _formed(columns: list[str]):
+    """Images of the files whose rows come sorted by bin and file: bin, file, stated rows, a mark of real rows, then the file's own ``columns``.
+
+    A file may span batches; only its own rows are held.
+    """
+
+    def image(parts: list[pa.Table]) -> bytes:
+        rows = parts[0] if len(parts) == 1 else pa.concat_tables(parts).combine_chunks()
+        if rows.column(0).null_count:
+            rows = rows.filter(rows.column(0))
+        return _encode(rows.select(range(1, rows.num_columns)).rename_columns(columns))
+
+    def images(batches: Iterator[pa.RecordBatch]) -> Images:
+        held: list[pa.Table] = []
+        open_: tuple | None = None
         for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                fs, path = pa.fs.FileSystem.from_uri(row["path"])
-                with fs.open_input_stream(path) as f:
-                    image = f.read()
-                yield pa.RecordBatch.from_pydict(
-                    {"bin": [row["bin"]], "file_no": [row["file_no"]], "num_rows": [row["num_rows"]], "image": [image]},
-                    schema=pa.schema([("bin", pa.string()), ("file_no", pa.int64()), ("num_rows", pa.int64()), ("image", pa.binary())]),
-                )
-
-    wanted = planned.select("bin", "file_no", "num_rows").join(paths.select("file_no", "path"), "file_no")
-    return wanted.select("bin", "file_no", "num_rows", "path").mapInArrow(read, "bin string, file_no bigint, num_rows bigint, image binary")
-
-
-def images_from_rows(rows: DataFrame, file_col: str, partitions: int) -> DataFrame:
-    """``file_no, image``: each file's rows as the parquet file they would form. Stands in for files that exist only as a listing."""
-    fields = [c for c in rows.columns if c != file_col]
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        numbers = table.column(file_col).combine_chunks().to_numpy()
-        table = table.select(fields).combine_chunks()
-        starts = [0, *[i for i in range(1, len(numbers)) if numbers[i] != numbers[i - 1]], len(numbers)]
-        for at in range(0, len(starts) - 1, 256):
-            keys, images = [], []
-            for lo, hi in zip(starts[at : at + 256], starts[at + 1 : at + 257]):
-                sink = pa.BufferOutputStream()
-                pq.write_table(table.slice(lo, hi - lo), sink, compression="snappy", use_dictionary=False)
-                keys.append(int(numbers[lo]))
-                images.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_pydict({"file_no": keys, "image": images}, schema=pa.schema([("file_no", pa.int64()), ("image", pa.binary())]))
-
-    placed = rows.select(F.col(file_col).cast("long").alias(file_col), *[F.col(c) for c in fields]).repartition(partitions, file_col).sortWithinPartitions(file_col)
-    return placed.mapInArrow(encode, "file_no bigint, image binary")
+            if not batch.num_rows:
+                continue
+            names, numbers, stated = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+            table = pa.Table.from_batches([batch]).select(range(3, batch.num_columns))
+            starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])  # a file lies in one bin only
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(numbers)]):
+                here = (names[lo].as_py(), int(numbers[lo]), stated[lo].as_py())
+                if open_ is not None and open_ != here:
+                    yield *open_, image(held)
+                    held.clear()
+                open_ = here
+                held.append(table.slice(lo, hi - lo))
+        if open_ is not None:
+            yield *open_, image(held)
+
+    return images
+
+
+def compact_rows(planned: DataFrame, rows: DataFrame, folder: str, partitions: int) -> DataFrame:
+    """As :func:`compact_files`, for files whose rows are those of ``rows`` with their ``file_no``; they stand in for files that exist only as a listing.
+
+    Rows are shuffled once to their file's plan entry and once to its bin; images are formed where they are copied and shuffled never.
+    """
+    own = [c for c in rows.columns if c.lower() != "file_no"]
+    content = rows.select(F.col("file_no").cast("long").alias("__n"), F.lit(True).alias("__here"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
+    wanted = planned.select("bin", F.col("file_no").cast("long").alias("file_no"), F.col("num_rows").cast("long").alias("num_rows"))
+    joined = wanted.join(content, F.col("file_no") == F.col("__n"), "left").drop("__n")
+    placed = joined.repartition(partitions, "bin").sortWithinPartitions("bin", "file_no")
+    return placed.mapInArrow(_copier(folder, _formed(own)), REPORT)

@@ -88,9 +88,7 @@ def p4_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "smallfiles")
     planned = smallfiles.plan(table(spark, sf_dir, "statement_files"))
-    statements = table(spark, sf_dir, "statements")
-    images = smallfiles.images_from_rows(statements.join(planned.select("file_no"), "file_no", "left_semi"), "file_no", shuffle_partitions(spark) * 2)
-    report = smallfiles.compact(images.join(planned.select("bin", "file_no", "num_rows"), "file_no"), scratch.path("compacted"), shuffle_partitions(spark) * 2)
+    report = smallfiles.compact_rows(planned, table(spark, sf_dir, "statements"), scratch.path("compacted"), shuffle_partitions(spark) * 2)
     return scratch.stage(report, "report").select("file_no", "rows", "bin")
 
 

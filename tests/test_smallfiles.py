@@ -35,13 +35,41 @@ def test_round_trip(options):
     joined = join_images(images)
     assert pq.read_table(pa.BufferReader(joined)).equals(pa.concat_tables(tables))
     meta = pq.read_metadata(pa.BufferReader(joined))
-    assert meta.num_row_groups == sum(pq.read_metadata(pa.BufferReader(i)).num_row_groups for i in images)
     again = join_images([joined, images[0]])
     assert pq.read_table(pa.BufferReader(again)).num_rows == meta.num_rows + 1
+    if options.get("use_dictionary") is False:  # compatible chunks become one
+        assert meta.num_row_groups == 1
+        return
+    assert meta.num_row_groups == sum(pq.read_metadata(pa.BufferReader(i)).num_row_groups for i in images)
     stats = pq.read_metadata(pa.BufferReader(joined)).row_group(0).column(1).statistics
     assert stats is not None and stats.null_count == tables[0].column("n").null_count
 
 
+def test_compatible_chunks_are_merged_and_others_kept():
+    """Pages without a dictionary share a chunk; a codec, a dictionary or a large chunk in between starts a new row group; order stays."""
+    rng = random.Random(4)
+    plain = {"use_dictionary": False, "write_statistics": False, "store_schema": False}
+    parts = [(random_table(rng, 5), plain), (random_table(rng, 9), plain), (random_table(rng, 4), {"store_schema": False}), (random_table(rng, 6), plain | {"compression": "zstd"}), (random_table(rng, 2), plain)]
+    copier = BlockCopier()
+    for table, options in parts:
+        assert copier.add(image(table, **options)) == table.num_rows
+    joined = copier.finish()
+    meta = pq.read_metadata(pa.BufferReader(joined))
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [14, 4, 6, 2]
+    assert copier.blocks == 5 and copier.rows == meta.num_rows == 26
+    assert pq.read_table(pa.BufferReader(joined)).equals(pa.concat_tables([t for t, _ in parts]))
+    assert len(joined) < sum(len(image(t, **o)) for t, o in parts)
+
+
+def test_merged_files_are_read_by_spark(spark, tmp_path):
+    plain = {"use_dictionary": False, "write_statistics": False, "store_schema": False, "compression": "snappy"}
+    images = [image(pa.table({"n": pa.array(range(i, i + 3), pa.int64()), "s": [str(i), None, "ü" * i]}), **plain) for i in range(200)]
+    (tmp_path / "m.parquet").write_bytes(join_images(images))
+    df = spark.read.parquet(f"{tmp_path}/m.parquet")
+    assert df.count() == 600 and df.where("n >= 200").count() == 3 and df.agg({"n": "sum"}).first()[0] == sum(3 * i + 3 for i in range(200))
+    assert df.where("s is null").count() == 200
+
+
 def test_many_row_groups_and_bytes_are_copied():
     t = pa.table({"a": ["x"] * 3})
     part = image(t)
@@ -85,22 +113,55 @@ def test_files_become_fewer_and_rows_stay(spark, tmp_path):
         pq.write_table(table, path)
         rows += table.column("id").to_pylist()
         actions.append((n, 1, "add", n, str(n % 3), "t", "o", table.num_rows if n % 5 else None, 500))
-        paths.append((n, f"file://{path}"))
+        paths.append((n, f"{n}.parquet"))
     planned = smallfiles.plan(spark.createDataFrame(actions, ACTIONS), max_files=8)
-    images = smallfiles.images_from_files(planned, spark.createDataFrame(paths, "file_no bigint, path string"))
-    report = smallfiles.compact(images, f"file://{tmp_path}/out", 4).collect()
+    files = planned.join(spark.createDataFrame(paths, "file_no bigint, path string"), "file_no")
+    report = smallfiles.compact_files(files, f"file://{tmp_path}/in", f"file://{tmp_path}/out", 4).collect()
     assert sorted(r["file_no"] for r in report) == list(range(60))
     outs = {r["out_path"] for r in report}
     assert 3 <= len(outs) < 20
-    assert sorted(r["id"] for r in spark.read.parquet(*outs).collect()) == sorted(rows)
-    again = smallfiles.compact(images, f"file://{tmp_path}/out", 2).collect()  # a repeated run overwrites its own files
+    assert sorted(r["id"] for r in spark.read.parquet(*[f"{tmp_path}/out/{o}" for o in outs]).collect()) == sorted(rows)
+    again = smallfiles.compact_files(files, f"file://{tmp_path}/in", f"file://{tmp_path}/out", 2).collect()  # a repeated run overwrites its own files
     assert {r["out_path"] for r in again} == outs
 
 
 def test_wrong_row_count_stops_the_run(spark, tmp_path):
-    df = spark.createDataFrame([("b", 1, 3, bytearray(image(pa.table({"a": [1]}))))], "bin string, file_no bigint, num_rows bigint, image binary")
+    pq.write_table(pa.table({"a": [1]}), f"{tmp_path}/1.parquet")
+    df = spark.createDataFrame([("b", 1, 3, "1.parquet")], "bin string, file_no bigint, num_rows bigint, path string")
     with pytest.raises(Exception, match="the log says 3 rows"):
-        smallfiles.compact(df, f"file://{tmp_path}/out", 1).collect()
+        smallfiles.compact_files(df, f"file://{tmp_path}", f"file://{tmp_path}/out", 1).collect()
+
+
+def test_files_of_several_schemas_share_a_bin_but_no_file(spark, tmp_path):
+    tables = [pa.table({"a": [1]}), pa.table({"a": ["x", "y"]}), pa.table({"a": [2, 3, 4]})]
+    for i, t in enumerate(tables):
+        pq.write_table(t, f"{tmp_path}/{i}.parquet")
+    df = spark.createDataFrame([("b", i, t.num_rows, f"{i}.parquet") for i, t in enumerate(tables)], "bin string, file_no bigint, num_rows bigint, path string")
+    report = smallfiles.compact_files(df, f"file://{tmp_path}", f"file://{tmp_path}/out", 2).collect()
+    outs = {r["file_no"]: r["out_path"] for r in report}
+    assert outs[0] == outs[2] != outs[1] and sorted(r["rows"] for r in report) == [1, 2, 3]
+    assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out/{outs[0]}").collect()) == [1, 2, 3, 4]
+
+
+def test_files_formed_from_rows(spark, tmp_path):
+    """Files over several batches, without rows, with clashing column names; every row exactly as often as before."""
+    rng = random.Random(1)
+    rows = [(n, rng.choice([None, "", "x" * 3000, f"v{i}"]), i, True) for n in range(40) for i in range(rng.choice([1, 2, 300]))]
+    rows += rows[:3]
+    table = spark.createDataFrame(rows, "file_no int, bin string, num_rows int, __here boolean")
+    plan = spark.createDataFrame([(f"b{n % 3}", n, None) for n in range(41)], "bin string, file_no bigint, num_rows bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        report = smallfiles.compact_rows(plan, table, f"file://{tmp_path}/out", 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = {n: sum(r[0] == n for r in rows) for n in range(41)}
+    assert {r["file_no"]: r["rows"] for r in report} == held and held[40] == 0
+    copied = spark.read.parquet(*{f"{tmp_path}/out/{r['out_path']}" for r in report})
+    assert copied.columns == ["bin", "num_rows", "__here"]
+    back = [tuple(r) for r in copied.collect()]
+    assert sorted(back, key=repr) == sorted([r[1:] for r in rows], key=repr)
+    assert smallfiles.compact_rows(plan.limit(0), table, f"file://{tmp_path}/none", 2).count() == 0
 
 
 def test_files_found_are_those_that_were_copied(spark, tmp_path):
