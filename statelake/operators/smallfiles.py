@@ -16,8 +16,8 @@ Three steps, each usable alone:
   its own file, and the new file appears by one rename. The returned report is
   the basis of one atomic log commit.
 
-``compact_rows`` is the same copy for files that exist only as rows of a table:
-the copying task forms each file's image from its rows and copies that.
+``compact_rows`` is the same for files that exist only as rows of a table: the
+copying task forms each file's image from its rows and copies that.
 
 Edge cases: a file number whose newest actions contradict each other is live if
 one of them is ``add`` and none is ``remove``; files without actions are not
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statelake.operators.parquet_blocks import BlockCopier, schema_of
+from statelake.session import Scratch
 
 SMALL_BYTES = 16384
 TARGET_BYTES = 128 << 20
@@ -65,20 +67,31 @@ def live_files(actions: DataFrame) -> DataFrame:
     return state.where(newest).select("file_no", *[f"a.{c}" for c in GROUP], "a.size_bytes", "a.num_rows")
 
 
+def small_files(actions: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    return live_files(actions).where(F.col("size_bytes") < small_bytes)
+
+
+def group_bins(small: DataFrame, target_bytes: int = TARGET_BYTES, max_files: int = MAX_FILES) -> DataFrame:
+    """The groups with at least two small files and how many bins each is to have (``g_shard``, ``g_bucket``, ``g_origin``, ``bins``): a row per partition of the table."""
+    totals = small.groupBy(*[F.col(c).alias(f"g_{c}") for c in GROUP]).agg(F.sum("size_bytes").alias("bytes"), F.count(F.lit(1)).alias("files")).where("files > 1")
+    return totals.withColumn("bins", F.greatest(F.ceil(F.col("bytes") / target_bytes), F.ceil(F.col("files") / max_files)).cast("long"))
+
+
+def assign(rows: DataFrame, bins: DataFrame) -> DataFrame:
+    """``rows`` (files, or rows of files) of the groups in ``bins``, with the ``bin`` of their ``file_no``."""
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in GROUP])
+    number = F.pmod(F.xxhash64(F.col("file_no").cast("long")), F.col("bins"))
+    name = F.sha1(F.to_json(F.struct(*GROUP, number.alias("bin"))))
+    return rows.join(bins, same).withColumn("bin", name).drop(*bins.columns)
+
+
 def plan(actions: DataFrame, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, max_files: int = MAX_FILES) -> DataFrame:
     """``bin, file_no, shard, bucket, origin, size_bytes, num_rows`` of each file to be consolidated.
 
     These are the live files under ``small_bytes`` that have at least one such neighbour in their group.
     """
-    small = live_files(actions).where(F.col("size_bytes") < small_bytes)
-    totals = small.groupBy(*[F.col(c).alias(f"g_{c}") for c in GROUP]).agg(F.sum("size_bytes").alias("bytes"), F.count(F.lit(1)).alias("files")).where("files > 1")
-    bins = totals.withColumn("bins", F.greatest(F.ceil(F.col("bytes") / target_bytes), F.ceil(F.col("files") / max_files)).cast("long"))
-    same = F.lit(True)
-    for c in GROUP:
-        same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
-    joined = small.join(bins, same)
-    number = F.pmod(F.xxhash64("file_no"), F.col("bins"))
-    return joined.select(F.sha1(F.to_json(F.struct(*GROUP, number.alias("bin")))).alias("bin"), "file_no", *GROUP, "size_bytes", "num_rows")
+    small = small_files(actions, small_bytes)
+    return assign(small, group_bins(small, target_bytes, max_files)).select("bin", "file_no", *GROUP, "size_bytes", "num_rows")
 
 
 def _publish(copier: BlockCopier, name: str, folder: str) -> tuple[str, int]:
@@ -172,47 +185,61 @@ def _encode(rows: pa.Table) -> bytes:
 
 
 def _formed(columns: list[str]):
-    """Images of the files whose rows come sorted by bin and file: bin, file, stated rows, a mark of real rows, then the file's own ``columns``.
+    """Images of the planned files among rows sorted by bin and file: bin, file, stated rows, a mark of real rows, then the file's own ``columns``.
 
-    A file may span batches; only its own rows are held.
+    The first row of a planned file is its plan entry, without the mark; rows of other files are passed over. A file may span
+    batches; only its own rows are held.
     """
 
     def image(parts: list[pa.Table]) -> bytes:
         rows = parts[0] if len(parts) == 1 else pa.concat_tables(parts).combine_chunks()
-        if rows.column(0).null_count:
-            rows = rows.filter(rows.column(0))
-        return _encode(rows.select(range(1, rows.num_columns)).rename_columns(columns))
+        return _encode(rows.rename_columns(columns))
 
     def images(batches: Iterator[pa.RecordBatch]) -> Images:
         held: list[pa.Table] = []
-        open_: tuple | None = None
+        open_: tuple[str, int] | None = None
+        wanted, expected = False, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names, numbers, stated = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
-            table = pa.Table.from_batches([batch]).select(range(3, batch.num_columns))
+            names, numbers, stated, entries = batch.column(0), batch.column(1).to_numpy(), batch.column(2), batch.column(3).is_null().to_numpy(zero_copy_only=False)
+            table = pa.Table.from_batches([batch]).select(range(4, batch.num_columns))
             starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])  # a file lies in one bin only
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(numbers)]):
-                here = (names[lo].as_py(), int(numbers[lo]), stated[lo].as_py())
-                if open_ is not None and open_ != here:
-                    yield *open_, image(held)
-                    held.clear()
-                open_ = here
-                held.append(table.slice(lo, hi - lo))
-        if open_ is not None:
-            yield *open_, image(held)
+                here = (names[lo].as_py(), int(numbers[lo]))
+                if open_ != here:
+                    if wanted:
+                        yield *open_, expected, image(held)
+                    held = []
+                    open_, wanted, expected = here, bool(entries[lo]), stated[lo].as_py()
+                    lo += entries[lo]
+                    if wanted:
+                        held.append(table.slice(lo, hi - lo))
+                elif wanted:
+                    held.append(table.slice(lo, hi - lo))
+        if wanted:
+            yield *open_, expected, image(held)
 
     return images
 
 
-def compact_rows(planned: DataFrame, rows: DataFrame, folder: str, partitions: int) -> DataFrame:
-    """As :func:`compact_files`, for files whose rows are those of ``rows`` with their ``file_no``; they stand in for files that exist only as a listing.
+def compact_rows(actions: DataFrame, rows: DataFrame, folder: str, partitions: int, scratch: Scratch, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES, max_files: int = MAX_FILES) -> DataFrame:
+    """As :func:`compact_files`, for small files whose rows are those of ``rows`` with their ``file_no``; they stand in for files that exist only as a listing.
 
-    Rows are shuffled once to their file's plan entry and once to its bin; images are formed where they are copied and shuffled never.
+    Rows name their group, and groups are few, so a row learns its bin without a shuffle. Rows and plan entries then meet in the one
+    shuffle that brings bins together; images are formed where they are copied and never shuffled. In the end the rows copied of
+    each file are compared with the rows of the table; a difference stops the run.
     """
+    small = small_files(actions, small_bytes)
+    bins = scratch.stage(group_bins(small, target_bytes, max_files).drop("bytes", "files"), "bins")
     own = [c for c in rows.columns if c.lower() != "file_no"]
-    content = rows.select(F.col("file_no").cast("long").alias("__n"), F.lit(True).alias("__here"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
-    wanted = planned.select("bin", F.col("file_no").cast("long").alias("file_no"), F.col("num_rows").cast("long").alias("num_rows"))
-    joined = wanted.join(content, F.col("file_no") == F.col("__n"), "left").drop("__n")
-    placed = joined.repartition(partitions, "bin").sortWithinPartitions("bin", "file_no")
-    return placed.mapInArrow(_copier(folder, _formed(own)), REPORT)
+    named = rows.where("file_no is not null").select(F.col("file_no").cast("long").alias("file_no"), *GROUP, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
+    content = assign(named, bins).select("bin", "file_no", F.lit(None).cast("long").alias("num_rows"), F.lit(True).alias("here"), *[f"c{i}" for i in range(len(own))])
+    entries = assign(small, bins).select("bin", F.col("file_no").cast("long").alias("file_no"), F.col("num_rows").cast("long").alias("num_rows"))
+    both = content.unionByName(entries, allowMissingColumns=True)
+    placed = both.repartition(partitions, "bin").sortWithinPartitions("bin", "file_no", F.col("here").asc_nulls_first())
+    report = scratch.stage(placed.mapInArrow(_copier(folder, _formed(own)), REPORT), "report")
+    held = rows.where("file_no is not null").groupBy(F.col("file_no").cast("long").alias("file_no")).agg(F.count(F.lit(1)).alias("held"))
+    # rows that name another group than their file's log entry would have gone elsewhere
+    checked = report.join(held, "file_no", "left").withColumn("ok", F.assert_true(F.col("rows") == F.coalesce("held", F.lit(0)), F.concat(F.lit("not all rows were copied of file "), "file_no")))
+    return checked.where("ok is null").drop("held", "ok")

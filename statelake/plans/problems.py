@@ -85,16 +85,20 @@ def p4_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folders(spark, sf_dir).where("depth < 0").select("id", F.col("root_id").alias("loop_id"))
 
 
-def p5_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a whole compaction of the small files of ``statements``."""
     scratch = Scratch(spark, "smallfiles")
-    planned = smallfiles.plan(table(spark, sf_dir, "statement_files"))
-    report = smallfiles.compact_rows(planned, table(spark, sf_dir, "statements"), scratch.path("compacted"), shuffle_partitions(spark) * 2)
-    return scratch.stage(report, "report").select("file_no", "rows", "bin")
+    return smallfiles.compact_rows(table(spark, sf_dir, "statement_files"), table(spark, sf_dir, "statements"), scratch.path("compacted"), shuffle_partitions(spark) * 2, scratch)
+
+
+def p5_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file consumed and the rows that were copied of it."""
+    return compaction(spark, sf_dir).select("file_no", "rows")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that validated copies have consumed."""
-    return p5_compacted(spark, sf_dir).select("file_no")
+    return compaction(spark, sf_dir).select("file_no")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +161,7 @@ _CHANGES = """
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB statements for the queries that SQL can state; ``p3_wide`` and ``p5_compacted`` are tested on fixtures."""
+    """DuckDB statements for the queries that SQL can state; the others are tested on fixtures."""
     return {
         "p1_found": f"SELECT {_MESSAGE} AS id, origin, coalesce(fragment, '') AS fragment FROM journal GROUP BY 1, 2, 3 HAVING count(*) > 1",
         "p1_deduped": f"""
@@ -185,6 +189,7 @@ def oracle_sql() -> dict[str, str]:
             WITH RECURSIVE {_TREE}, {_NODES} SELECT u AS id, id AS descendant, depth - list_position(ids, u) + 1 AS distance FROM (SELECT id, depth, ids, unnest(ids[:-2]) AS u FROM nodes)""",
         "p4_loops": f"WITH RECURSIVE {_TREE}, {_LOOPS} SELECT id, loop_id FROM loops",
         "p5_found": f"WITH {_FILES} SELECT file_no FROM small WHERE k > 1",
+        "p5_compacted": f"WITH {_FILES} SELECT s.file_no, count(t.row_no) AS rows FROM small s LEFT JOIN statements t ON s.file_no = t.file_no WHERE k > 1 GROUP BY 1",
         "p6_found": """
             WITH covered AS (SELECT DISTINCT b FROM (SELECT unnest(range(from_batch, to_batch + 1)) AS b FROM export_runs WHERE kind = 'entities' AND status = 'ok')),
             rec AS (SELECT id, origin, fragment, entity_id, min(batch_no) AS b1, min(batch_no) FILTER (WHERE deleted_at IS NOT NULL) AS b2,

@@ -29,7 +29,7 @@ def test_queries_and_sql_match():
 
 def test_physical_compaction_takes_exactly_the_files_found(spark):
     """What the listing says is to be consolidated is what the block copy consumed, with the rows the table holds."""
-    report = problems.p5_compacted(spark, DATA)
+    report = problems.compaction(spark, DATA)
     found = {r[0] for r in problems.p5_found(spark, DATA).collect()}
     taken = {r["file_no"]: r["rows"] for r in report.collect()}
     assert set(taken) == found

@@ -144,24 +144,32 @@ def test_files_of_several_schemas_share_a_bin_but_no_file(spark, tmp_path):
 
 
 def test_files_formed_from_rows(spark, tmp_path):
-    """Files over several batches, without rows, with clashing column names; every row exactly as often as before."""
+    """Files over several batches, without rows, not planned, with clashing column names; every row exactly as often as before."""
+    from statelake.session import Scratch
+
     rng = random.Random(1)
-    rows = [(n, rng.choice([None, "", "x" * 3000, f"v{i}"]), i, True) for n in range(40) for i in range(rng.choice([1, 2, 300]))]
+    group = lambda n: (str(n % 3), None if n % 3 else "t", "o")
+    rows = [(n, *group(n), rng.choice([None, "", "x" * 3000, f"v{i}"]), i, True) for n in range(40) for i in range(rng.choice([1, 2, 300]))]
     rows += rows[:3]
-    table = spark.createDataFrame(rows, "file_no int, bin string, num_rows int, __here boolean")
-    plan = spark.createDataFrame([(f"b{n % 3}", n, None) for n in range(41)], "bin string, file_no bigint, num_rows bigint")
+    table = spark.createDataFrame(rows, "file_no int, shard string, bucket string, origin string, bin string, num_rows int, here boolean")
+    log = [(n, 1, "add", n, *group(n), None, 20_000 if n in (5, 6) else 100) for n in range(41)] + [(99, 2, "remove", 7, *group(7), None, 100)]
+    actions = spark.createDataFrame(log, ACTIONS)
+    compact = lambda a, r, name: smallfiles.compact_rows(a, r, f"file://{tmp_path}/{name}", 2, Scratch(spark, "test"), max_files=4)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
-        report = smallfiles.compact_rows(plan, table, f"file://{tmp_path}/out", 2).collect()
+        report = compact(actions, table, "out").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    held = {n: sum(r[0] == n for r in rows) for n in range(41)}
+    held = {n: sum(r[0] == n for r in rows) for n in range(41) if n not in (5, 6, 7)}
     assert {r["file_no"]: r["rows"] for r in report} == held and held[40] == 0
+    assert len({r["bin"] for r in report}) > 3
     copied = spark.read.parquet(*{f"{tmp_path}/out/{r['out_path']}" for r in report})
-    assert copied.columns == ["bin", "num_rows", "__here"]
-    back = [tuple(r) for r in copied.collect()]
-    assert sorted(back, key=repr) == sorted([r[1:] for r in rows], key=repr)
-    assert smallfiles.compact_rows(plan.limit(0), table, f"file://{tmp_path}/none", 2).count() == 0
+    assert copied.columns == table.columns[1:]
+    assert sorted(map(tuple, copied.collect()), key=repr) == sorted([r[1:] for r in rows if r[0] in held], key=repr)
+    assert compact(actions.limit(0), table, "none").count() == 0
+    astray = spark.createDataFrame([(1, "9", None, "o", "", 0, True)], table.schema)
+    with pytest.raises(Exception, match="not all rows were copied of file 1"):
+        compact(actions, table.union(astray), "astray").collect()
 
 
 def test_files_found_are_those_that_were_copied(spark, tmp_path):
