@@ -1,19 +1,23 @@
 """Full paths, depths, roots and descendants of parent–child rows of any depth.
 
-Tree contraction. Each round removes all leaves (*rake*) and splices out an
+Tree contraction. Each step removes all leaves (*rake*) and splices out an
 independent set of nodes with a single child (*compress*; a node goes
-if its random rank of this round is above those of its parent and that child). Removed nodes are
+if its random rank of this step is above those of its parent and that child). Removed nodes are
 recorded with the edge they had. Bushy parts vanish by raking, long chains
 shrink geometrically by compressing, so a tree of any shape is gone after a
-number of rounds that is logarithmic in its size. A loop cannot be raked away:
+number of steps that is logarithmic in its size. A loop cannot be raked away:
 compression shrinks it until one node is its own parent, which exposes it
 together with the smallest id that was spliced into it.
 
-The recorded rounds are then undone in reverse: the parent of a node that was
-removed in round k outlived round k, so its result is known by then.
+The recorded contractions are then reversed. The parent of a removed node
+outlived it, so records form trees that are no deeper than there were steps. A
+record joined with that of its parent spans the steps of both; after a number
+of such joins that is logarithmic in the number of steps, every record leads to
+a root or a loop. No step's result is read again by a later one.
 
-All rounds are tables in the shared scratch area; nothing is collected. The
-driver only learns, per round, whether an edge is left.
+``STEPS`` steps make up one job and one table in the shared scratch area;
+nothing is collected. The driver only learns, with each table, how many edges
+are left.
 
 Edge cases: the newest row of a node counts, ties by the greater parent and
 name; null, empty and unknown parents make roots; a node that is its own parent
@@ -25,12 +29,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from statelake.session import Scratch
 
-MAX_ROUNDS = 400
+STEPS = 2
+MAX_ROUNDS = 200
 
 _SEG = "array<struct<id: string, name: string>>"
 
@@ -44,65 +49,79 @@ def newest_nodes(folders: DataFrame) -> DataFrame:
 
 
 def _rank(column: str, number: int) -> Column:
-    # a text literal stays out of the generated code, which is thus compiled once for all rounds
+    # a text literal stays out of the generated code, which is thus compiled once for all steps
     return F.xxhash64(F.col(column), F.lit(str(number)))
 
 
-def _round(active: DataFrame, number: int) -> DataFrame:
-    """One rake and one compress. ``gone`` marks nodes removed in this round."""
+def _step(active: DataFrame, number: int) -> DataFrame:
+    """One rake and one compress. ``gone`` marks removed nodes, those of earlier steps as well, which pass unchanged."""
     # a node that is its own parent is what is left of a loop: it becomes the root of all that hangs below
-    loop = F.col("id") == F.col("parent")
+    loop = ~F.col("gone") & F.coalesce(F.col("id") == F.col("parent"), F.lit(False))
     nodes = active.select(
-        "id", F.when(~loop, F.col("parent")).alias("parent"), "seg", "lo", F.when(loop, F.least("id", "lo")).otherwise(F.col("loop")).alias("loop")
+        "id", F.when(~loop, F.col("parent")).alias("parent"), "seg", "lo", F.when(loop, F.least("id", "lo")).otherwise(F.col("loop")).alias("loop"), "gone"
     )
-    kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"), F.min("id").alias("child"))
-    counted = nodes.join(kids, "id", "left").withColumn("leaf", F.col("kids").isNull() & F.col("parent").isNotNull())
+    kids = nodes.where("not gone and parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"), F.min("id").alias("child"))
+    hangs = ~F.col("gone") & F.col("parent").isNotNull()
+    counted = nodes.join(kids, "id", "left").withColumn("leaf", F.col("kids").isNull() & hangs)
     higher = (_rank("id", number) > _rank("parent", number)) & (_rank("id", number) > _rank("child", number))
-    marked = counted.withColumn("splice", F.coalesce((F.col("kids") == 1) & F.col("parent").isNotNull() & higher, F.lit(False)))
+    marked = counted.withColumn("splice", F.coalesce((F.col("kids") == 1) & hangs & higher, F.lit(False)))
     spliced = marked.where("splice").select(F.col("id").alias("parent"), F.col("parent").alias("up"), F.col("seg").alias("up_seg"), F.col("lo").alias("up_lo"))
     moved = marked.join(spliced, "parent", "left")
-    # a leaf below a spliced node moves up too, so that its recorded parent outlives this round
-    lift = F.col("up").isNotNull() & ~F.col("splice")
+    # a leaf below a spliced node moves up too, so that its recorded parent outlives this step
+    lift = F.col("up").isNotNull() & ~F.col("splice") & ~F.col("gone")
     return moved.select(
         "id",
         F.when(lift, F.col("up")).otherwise(F.col("parent")).alias("parent"),
         F.when(lift, F.concat("up_seg", "seg")).otherwise(F.col("seg")).alias("seg"),
         F.when(lift, F.least("lo", "up_lo", "parent")).otherwise(F.col("lo")).alias("lo"),
         "loop",
-        (F.col("leaf") | F.col("splice")).alias("gone"),
+        (F.col("gone") | F.col("leaf") | F.col("splice")).alias("gone"),
     )
 
 
+def contract(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame], int]:
+    """What is left (roots; ``loop`` names the loop that one stands for), the records of removed nodes in order, and the number of steps."""
+    no = F.lit(None).cast("string")
+    active = nodes.select("id", "parent", F.array(F.struct("id", "name")).cast(_SEG).alias("seg"), no.alias("lo"), no.alias("loop"), F.lit(False).alias("gone"))
+    tables: list[DataFrame] = []
+    for number in range(MAX_ROUNDS):
+        rows = active
+        for step in range(STEPS if number else 0):  # the first table holds the nodes themselves
+            rows = _step(rows, number * STEPS + step)
+        seen = Observation()
+        edges = F.count(F.when(F.col("parent").isNotNull() & ~F.col("gone"), 1)).alias("edges")
+        after = scratch.stage(rows.observe(seen, edges), f"round{number}", ["gone"])
+        tables.append(after)
+        active = after.where("not gone")
+        if not seen.get["edges"]:
+            return active, [t.where("gone") for t in tables[1:]], number * STEPS
+    raise RuntimeError(f"the hierarchy has not contracted within {MAX_ROUNDS * STEPS} steps")
+
+
 def resolve(nodes: DataFrame) -> DataFrame:
     """``id, root_id, depth, path`` (array of id and name from the root down), ``loop`` (smallest id on the loop, null if there is none)."""
-    spark = nodes.sparkSession
-    scratch = Scratch(spark, "hierarchy")
-    active = nodes.select("id", "parent", F.array(F.struct("id", "name")).cast(_SEG).alias("seg"), F.lit(None).cast("string").alias("lo"), F.lit(None).cast("string").alias("loop"))
-    active = scratch.stage(active, "nodes")
-    done = [active]
-    removed: list[DataFrame] = []
-    for number in range(MAX_ROUNDS):
-        if active.where("parent is not null").isEmpty():
-            break
-        after = scratch.stage(_round(active, number), f"round{number}", ["gone"])
-        done.append(after)
-        removed.append(after.where("gone").drop("gone"))
-        active = after.where("not gone").drop("gone")
-    else:
-        raise RuntimeError(f"the hierarchy has not contracted within {MAX_ROUNDS} rounds")
-    known = active.select(
-        "id", F.coalesce("loop", "id").alias("root_id"), F.when(F.col("loop").isNull(), 0).otherwise(-1).cast("long").alias("depth"), F.col("seg").alias("path"), "loop"
+    scratch = Scratch(nodes.sparkSession, "hierarchy")
+    left, records, steps = contract(nodes, scratch)
+    known = [left.select("id", "seg", "loop")]
+    open_ = reduce(DataFrame.unionByName, records).select("id", "parent", "seg") if records else None
+    spans = 1
+    while open_ is not None and spans <= steps:  # a record leads over `spans` steps, and at most `steps` lie above it
+        done = reduce(DataFrame.unionByName, known).withColumn("up", F.lit(None).cast("string"))
+        above = done.unionByName(open_.select("id", "seg", F.lit(None).cast("string").alias("loop"), F.col("parent").alias("up")))
+        above = above.select(F.col("id").alias("parent"), F.col("seg").alias("up_seg"), "loop", "up")
+        joined = open_.join(above, "parent").select("id", F.col("up").alias("parent"), F.concat("up_seg", "seg").alias("seg"), "loop", F.col("up").isNull().alias("known"))
+        after = scratch.stage(joined, f"span{spans}", ["known"])
+        known.append(after.where("known").select("id", "seg", "loop"))
+        open_ = after.where("not known").select("id", "parent", "seg")
+        spans *= 2
+    on_loop = F.col("loop").isNotNull()
+    return reduce(DataFrame.unionByName, known).select(
+        "id",
+        F.coalesce("loop", F.col("seg")[0]["id"]).alias("root_id"),
+        F.when(on_loop, -1).otherwise(F.size("seg") - 1).cast("long").alias("depth"),
+        F.col("seg").alias("path"),
+        "loop",
     )
-    known = scratch.stage(known, "known")
-    parts = [known]
-    for number, gone in reversed(list(enumerate(removed))):
-        above = reduce(DataFrame.unionByName, parts).select(F.col("id").alias("parent"), "root_id", F.col("depth").alias("up"), "path", F.col("loop").alias("on"))
-        below = gone.drop("loop").join(above, "parent").select(
-            "id", "root_id", F.when(F.col("up") < 0, F.lit(-1)).otherwise(F.col("up") + F.size("seg")).cast("long").alias("depth"), F.concat("path", "seg").alias("path"), F.col("on").alias("loop")
-        )
-        parts.append(scratch.stage(below, f"known{number}"))
-    scratch.drop(*done)
-    return reduce(DataFrame.unionByName, parts)
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
