@@ -1,39 +1,86 @@
 """Runs that take up only what is new or changed since the last success.
 
-A manifest lists the input batches that successful runs have taken up, each with
-its size and checksum. A run
-
-1. lists the inputs (``listing``: rows and an order-independent checksum each),
-2. anti-joins the listing against the manifest: an input that is unknown, or
-   whose size or checksum differs, is pending,
-3. writes its result under the folder of its batch identifier, replacing
-   whatever a failed attempt left there,
-4. commits by creating the next manifest version, a directory that appears by
-   one rename. A run that dies before step 4 leaves the manifest untouched and
-   is repeated in full; one that dies after it is not repeated.
+Inputs are files below a folder, one subfolder per batch. A manifest lists the
+files that successful runs have taken up, each with its size and checksum. A run
+
+1. lists the inputs (``listing``: path, size and checksum of the content, made by
+   the executors),
+2. anti-joins the listing against the manifest: a file that is unknown, or
+   whose size or checksum differs, is pending; no other file is opened,
+3. reduces the pending files to one state per record and compares it with the
+   states that earlier runs have left in the *record store* (for the entities at
+   hand only): a record is new if no earlier run saw it in an earlier batch,
+4. writes its result, its record states and its manifest entries below folders
+   named by its run identifier, replacing whatever a failed attempt left there,
+5. commits by publishing one small file, the next manifest version, which names
+   those folders; it appears whole, and for one run only (:meth:`Folder.create`).
+
+A run that dies before step 5 leaves manifest and store as they were and is
+repeated in full; one that dies after it is not repeated.
+
+Skew: rows are reduced per record, with map-side combine, before anything is
+grouped by entity; an entity with a third of all rows is spread by its records.
 
 Edge cases: statements with a null batch number belong to no input and are
 ignored; null ``id``, ``origin``, ``fragment`` compare equal to null; a record
 is deleted if among its rows with the greatest ``last_seen`` one is a tombstone;
 null ``last_seen`` is oldest; empty tables give no changes. A statement ``id`` is a
-hash over its entity, so the entity is a function of the record.
+hash over its entity, so the entity is a function of the record. Of an input that
+was replaced by another content, rows that have vanished stay in the store.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statelake.session import Scratch
+from statelake.sources.paths import Folder
+
+INPUT = ["id", "origin", "fragment", "entity_id", "last_seen", "deleted_at"]
+LISTING = "path string, batch_no bigint, size bigint, checksum bigint"
+RECORD = ["id", "origin", "fragment", "entity_id"]
+STATE = "id string, origin string, fragment string, entity_id string, first_batch bigint, dead_batch bigint, state bigint"
+ROWS_PER_FILE = 500_000
+SNAPSHOT = 16
+
+
+def land(statements: DataFrame, folder: str) -> None:
+    """Write rows as input files, one subfolder per batch. Stands in for a feed that delivers its batches as files."""
+    rows = statements.where("batch_no is not null").select("batch_no", *INPUT).hint("rebalance", F.col("batch_no"))
+    rows.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "zstd").partitionBy("batch_no").parquet(folder)
+
 
-MANIFEST = "batch_no bigint, rows bigint, checksum bigint, run_id string"
-RECORD = ["id", "origin", "fragment"]
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, batch_no, size, checksum`` of each input file; paths are relative to ``folder``. Contents are hashed where they lie and not decoded."""
+    here = Folder(spark, folder)
+    if not any(n.startswith("batch_no=") for n in here.names()):
+        return spark.createDataFrame([], LISTING)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    path = F.regexp_extract("path", "(batch_no=[^/]*/.*)$", 1)
+    return found.select(path.alias("path"), F.regexp_extract(path, "=(-?[0-9]+)/", 1).cast("bigint").alias("batch_no"), F.col("length").alias("size"), F.xxhash64("content").alias("checksum"))
 
 
-def listing(statements: DataFrame) -> DataFrame:
-    """``batch_no, rows, checksum`` of each input batch. The checksum does not depend on row order."""
-    state = F.xxhash64("row_no", "id", "origin", "fragment", "last_seen", "deleted_at")
-    return statements.where("batch_no is not null").groupBy("batch_no").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(state).alias("checksum"))
+def read_files(listed: DataFrame, folder: str) -> DataFrame:
+    """The rows of listed files with their batch number. The driver learns the paths, as for every scan, and no other file is opened."""
+    spark = listed.sparkSession
+    paths = [f"{folder}/{r[0]}" for r in listed.select("path").collect()]
+    schema = "id string, origin string, fragment string, entity_id string, last_seen timestamp_ntz, deleted_at timestamp_ntz, batch_no bigint"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", folder).parquet(*paths)
+
+
+def record_states(rows: DataFrame) -> DataFrame:
+    """One row per record (``STATE``): its first batch, its first batch with a tombstone, and a number that orders by ``last_seen`` and is odd for a tombstone."""
+    us = F.coalesce(F.unix_micros(F.col("last_seen").cast("timestamp")), F.lit(-(2**61)))
+    dead = F.col("deleted_at").isNotNull()
+    # the newest row wins and, of equally new ones, a tombstone
+    keyed = rows.select(*RECORD, "batch_no", F.when(dead, F.col("batch_no")).alias("dead"), (us * 2 + dead.cast("long")).alias("s"))
+    return keyed.groupBy(*RECORD).agg(F.min("batch_no").alias("first_batch"), F.min("dead").alias("dead_batch"), F.max("s").alias("state"))
 
 
 def covered_batches(runs: DataFrame, kind: str = "entities") -> DataFrame:
@@ -43,88 +90,108 @@ def covered_batches(runs: DataFrame, kind: str = "entities") -> DataFrame:
 
 
 class Manifest:
-    """Versions of the list of inputs taken up so far, below ``root``."""
+    """What successful runs have taken up: versions of the list of input files, and the record store, below ``root``.
+
+    A version names the folders that hold its entries and states; every ``SNAPSHOT`` versions they are folded into one each.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.folder = Folder(spark, self.root)
 
     def version(self) -> int:
         """The newest committed version; 0 if there is none."""
-        folder = self._path(f"{self.root}/manifest")
-        if not self._fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return max([int(n[1:]) for n in names if n.startswith("v")], default=0)
+        return max([int(n[1:].split(".")[0]) for n in self.folder.names("manifest") if n.startswith("v")], default=0)
 
-    def entries(self) -> DataFrame:
+    def _named(self, what: str) -> list[str]:
         version = self.version()
-        if not version:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{version:08d}")
+        return json.loads(self.folder.read(f"manifest/v{version:08d}.json"))[what] if version else []
 
-    def pending(self, inputs: DataFrame) -> DataFrame:
-        return inputs.join(self.entries(), ["batch_no", "rows", "checksum"], "left_anti")
+    def _table(self, what: str, schema: str) -> DataFrame:
+        paths = [f"{self.root}/{p}" for p in self._named(what)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def output_path(self, run_id: str) -> str:
-        return f"{self.root}/output/run={run_id}"
+    def entries(self) -> DataFrame:
+        """The files taken up, in the content they had."""
+        return self._table("files", LISTING)
 
-    def commit(self, taken: DataFrame, run_id: str, base: int | None = None) -> int:
-        """Publish a manifest that also holds ``taken``; fails if another run committed since version ``base``."""
-        base = self.version() if base is None else base
-        kept = self.entries().join(taken.select("batch_no"), "batch_no", "left_anti")
-        grown = kept.unionByName(taken.select("batch_no", "rows", "checksum", F.lit(run_id).alias("run_id")))
-        draft, final = f"{self.root}/draft-{run_id}", f"{self.root}/manifest/v{base + 1:08d}"
-        grown.coalesce(1).write.mode("overwrite").parquet(draft)
-        self._fs.mkdirs(self._path(f"{self.root}/manifest"))
-        if self._fs.exists(self._path(final)) or not self._fs.rename(self._path(draft), self._path(final)):
-            raise RuntimeError(f"manifest version {base + 1} exists: another run has committed")
-        return base + 1
+    def records(self) -> DataFrame:
+        """States that runs have left, a record once for each run that met it."""
+        return self._table("records", STATE)
 
+    def pending(self, inputs: DataFrame) -> DataFrame:
+        return inputs.join(self.entries(), ["path", "size", "checksum"], "left_anti").select("path", "batch_no", "size", "checksum")
 
-def changed_entities(statements: DataFrame, pending: DataFrame) -> DataFrame:
-    """``entity_id, op`` of entities with a record that was first seen or first deleted in a pending batch.
+    def output_path(self, run_id: str) -> str:
+        return f"{self.root}/output/run={run_id}"
 
-    Two aggregates: by record (unique enough that skew cannot arise from an entity), then by entity with map-side combine.
-    The flag comes with the record's earliest batches, so pending batches join against two numbers per record.
+    def prepare(self, run_id: str, taken: DataFrame, states: DataFrame) -> None:
+        """Write what a commit of ``run_id`` will name."""
+        taken.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/files/run={run_id}")
+        states.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/records/run={run_id}")
+
+    def commit(self, run_id: str, base: int) -> int:
+        """Publish the version after ``base`` with what was prepared; fails if another run has."""
+        version = base + 1
+        if self.version() != base:
+            raise RuntimeError(f"manifest version {version} exists: another run has committed")
+        named = {what: [*self._named(what), f"{what}/run={run_id}"] for what in ("files", "records")}
+        if version % SNAPSHOT == 0:
+            named = self._fold(named, version, run_id)
+        if not self.folder.create(f"manifest/v{version:08d}.json", json.dumps({"run_id": run_id, **named})):
+            raise RuntimeError(f"manifest version {version} exists: another run has committed")
+        return version
+
+    def _fold(self, named: dict[str, list[str]], version: int, run_id: str) -> dict[str, list[str]]:
+        files, records = [self.spark.read.schema(s).parquet(*[f"{self.root}/{p}" for p in named[w]]) for w, s in (("files", LISTING), ("records", STATE))]
+        out = {"files": f"files/upto={version}-{run_id}", "records": f"records/upto={version}-{run_id}"}
+        files.distinct().coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{out['files']}")
+        merged_states(records).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{out['records']}")
+        return {what: [path] for what, path in out.items()}
+
+
+def merged_states(*states: DataFrame) -> DataFrame:
+    rows = reduce(DataFrame.unionByName, states)
+    return rows.groupBy(*RECORD).agg(F.min("first_batch").alias("first_batch"), F.min("dead_batch").alias("dead_batch"), F.max("state").alias("state"))
+
+
+def changed_entities(states: DataFrame, known: DataFrame) -> DataFrame:
+    """``entity_id, op`` of entities with a record that ``states`` sees first, or first deleted, before any of ``known``.
+
+    ``op`` is ``DEL`` if no record of the entity is live in either. Two aggregates: by record (unique enough that skew cannot arise
+    from an entity), then by entity with map-side combine.
     """
-    rows = statements.where("batch_no is not null").select(
-        *RECORD,
-        "entity_id",
-        "batch_no",
-        F.when(F.col("deleted_at").isNotNull(), F.col("batch_no")).alias("dead_batch"),
-        F.coalesce(F.unix_micros(F.col("last_seen").cast("timestamp")), F.lit(-(2**62))).alias("us"),
-        F.col("deleted_at").isNotNull().alias("dead"),
-    )
-    # the newest row wins and, of equally new ones, a tombstone: one long that orders by both
-    rows = rows.withColumn("state", F.col("us") * 2 + F.col("dead").cast("long"))
-    records = rows.groupBy(*RECORD, "entity_id").agg(F.min("batch_no").alias("first_batch"), F.min("dead_batch").alias("dead_batch"), F.max("state").alias("state"))
-    waiting = pending.select("batch_no")  # staged, so Spark knows its size and broadcasts it only if it is small
-    first = records.join(waiting.select(F.col("batch_no").alias("first_batch"), F.lit(True).alias("new_first")), "first_batch", "left")
-    both = first.join(waiting.select(F.col("batch_no").alias("dead_batch"), F.lit(True).alias("new_dead")), "dead_batch", "left")
-    entities = both.groupBy("entity_id").agg(
-        F.max(F.coalesce("new_first", "new_dead", F.lit(False))).alias("changed"), F.max(F.expr("pmod(state, 2) = 0")).alias("live")
-    )
+    touched = states.where("entity_id is not null").select("entity_id").distinct()
+    earlier = known.join(touched, "entity_id", "left_semi")
+    sides = states.select(*RECORD, "first_batch", "dead_batch", "state", F.lit(True).alias("now")).unionByName(earlier.select(*RECORD, "first_batch", "dead_batch", "state", F.lit(False).alias("now")))
+    at = lambda name, now: F.min(F.when(F.col("now") == F.lit(now), F.col(name)))
+    records = sides.groupBy(*RECORD).agg(at("first_batch", True).alias("f1"), at("first_batch", False).alias("f0"), at("dead_batch", True).alias("d1"), at("dead_batch", False).alias("d0"), F.max("state").alias("state"))
+    earlier_now = lambda new, old: F.col(new).isNotNull() & (F.col(old).isNull() | (F.col(new) < F.col(old)))
+    entities = records.groupBy("entity_id").agg(F.max(earlier_now("f1", "f0") | earlier_now("d1", "d0")).alias("changed"), F.max(F.expr("pmod(state, 2) = 0")).alias("live"))
     return entities.where("changed and entity_id is not null").select("entity_id", F.when(F.col("live"), "ADD").otherwise("DEL").alias("op"))
 
 
-def run_increment(statements: DataFrame, manifest: Manifest, run_id: str) -> DataFrame:
-    """One run: list, anti-join, write under the run's identifier, commit. Returns what was written."""
-    spark, base = statements.sparkSession, manifest.version()
-    pending = Scratch(spark, "increment").stage(manifest.pending(listing(statements)).coalesce(1), "pending")
+def run_increment(spark: SparkSession, inputs: str, manifest: Manifest, run_id: str, listed: DataFrame | None = None) -> DataFrame:
+    """One run over the files below ``inputs``: list, anti-join, compare, write under the run's identifier, commit. Returns what was written."""
+    base = manifest.version()
+    scratch = Scratch(spark, "increment")
+    pending = scratch.stage(manifest.pending(listing(spark, inputs) if listed is None else listed).coalesce(1), "pending")
+    states = scratch.stage(record_states(read_files(pending, inputs)), "states")
     out = manifest.output_path(run_id)
-    changed_entities(statements, pending).write.mode("overwrite").parquet(out)
-    manifest.commit(pending, run_id, base)
+    changed_entities(states, manifest.records()).write.mode("overwrite").parquet(out)
+    manifest.prepare(run_id, pending, states)
+    manifest.commit(run_id, base)
     return spark.read.schema("entity_id string, op string").parquet(out)
 
 
 def increment_after_runs(statements: DataFrame, runs: DataFrame, run_id: str = "next") -> DataFrame:
-    """The increment due after the ``runs`` on record, whose successes form the manifest's first version."""
+    """The increment due after the ``runs`` on record: what they covered forms the manifest's first version, all else is pending."""
     spark = statements.sparkSession
     scratch = Scratch(spark, "increment")
-    manifest = Manifest(spark, scratch.path("store"))
-    inputs = scratch.stage(listing(statements).coalesce(1), "listing")
-    manifest.commit(inputs.join(covered_batches(runs), "batch_no", "left_semi"), "history")
-    return run_increment(statements, manifest, run_id)
+    inputs, manifest = scratch.path("inputs"), Manifest(spark, scratch.path("store"))
+    land(statements, inputs)
+    listed = scratch.stage(listing(spark, inputs).coalesce(1), "listing")
+    covered = scratch.stage(listed.join(covered_batches(runs), "batch_no", "left_semi").select(listed.columns).coalesce(1), "covered")
+    manifest.prepare("history", covered, record_states(read_files(covered, inputs)))
+    manifest.commit("history", 0)
+    return run_increment(spark, inputs, manifest, run_id, listed)

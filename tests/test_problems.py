@@ -215,23 +215,63 @@ def test_increment(spark):
     assert increments.increment_after_runs(statements.limit(0), history.limit(0)).count() == 0
 
 
-def test_runs_neither_skip_nor_repeat(spark, root):
-    rows = [(1, 1, "a", "o", "", "e1", at(1), None), (2, 2, "b", "o", "", "e2", at(2), None)]
-    manifest = increments.Manifest(spark, root)
-    load = lambda: spark.createDataFrame(rows, STATEMENTS)
-    assert manifest.version() == 0 and increments.run_increment(load(), manifest, "r1").count() == 2
-    assert increments.run_increment(load(), manifest, "r2").count() == 0
-    rows.append((3, 3, "c", "o", "", "e3", at(3), None))
-    # a run that dies after writing and before its commit is repeated in full, under the same identifier
-    pending = manifest.pending(increments.listing(load()))
-    increments.changed_entities(load(), pending).write.mode("overwrite").parquet(manifest.output_path("r3"))
-    assert [r[0] for r in increments.run_increment(load(), manifest, "r3").collect()] == ["e3"]
-    rows.append((4, 2, "d", "o", "", "e4", at(3), None))  # an input that has changed is taken up again
-    assert "e4" in {r[0] for r in increments.run_increment(load(), manifest, "r4").collect()}
+def test_runs_neither_skip_nor_repeat(spark, root, monkeypatch):
+    manifest, inputs = increments.Manifest(spark, f"{root}/store"), f"{root}/in"
+    land = lambda *rows: increments.land(spark.createDataFrame(list(rows), STATEMENTS), inputs)
+    run = lambda name: sorted(map(tuple, increments.run_increment(spark, inputs, manifest, name).collect()))
+    assert manifest.version() == 0 and run("r0") == [] and manifest.version() == 1
+    land((1, 1, "a", "o", "", "e1", at(1), None), (2, 2, "b", "o", "", "e2", at(2), None))
+    assert run("r1") == [("e1", "ADD"), ("e2", "ADD")]
+    assert run("r2") == []
+    land((3, 3, "c", "o", "", "e3", at(3), None), (3, 3, "a", "o", "", "e1", at(3), None))
+    # a run that dies after writing and before its commit is repeated in full, under the same identifier or another
+    with monkeypatch.context() as m:
+        m.setattr(increments.Manifest, "commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run("r3")
+    assert spark.read.parquet(manifest.output_path("r3")).count() == 1
+    assert run("r3") == [("e3", "ADD")], "a record that is only seen again is no change"
+    # an input that has changed is taken up again, its known records are not reported again
+    land((4, 2, "d", "o", "", "e4", at(3), None))
+    taken = increments.listing(spark, inputs).where("batch_no = 1").first()["path"]
+    more = spark.read.parquet(f"{inputs}/{taken}")
+    more = more.unionByName(more.withColumn("id", F.lit("z")).withColumn("entity_id", F.lit("e5"))).toArrow()
+    import pyarrow.parquet as pq
+
+    pq.write_table(more, f"{inputs}/{taken}".removeprefix("file://"))
+    crc = f"{inputs}/{taken}".removeprefix("file://").rpartition("/")
+    import os
+
+    os.remove(f"{crc[0]}/.{crc[2]}.crc")
+    assert run("r4") == [("e4", "ADD"), ("e5", "ADD")]
+    land((5, 4, "b", "o", "", "e2", at(9), at(9)), (6, 4, "c", "o", "", "e3", at(1), at(1)))
+    assert run("r5") == [("e2", "DEL"), ("e3", "ADD")], "a tombstone that is older than the record's newest row changes but does not delete it"
     base = manifest.version()
     with pytest.raises(RuntimeError):
-        manifest.commit(spark.createDataFrame([(9, 1, 1)], "batch_no bigint, rows bigint, checksum bigint"), "late", base - 1)
-    assert manifest.version() == base
+        manifest.commit("r5", base - 1)
+    assert manifest.version() == base and run("r6") == []
+
+
+def test_of_two_runs_one_commits(spark, root):
+    from concurrent.futures import ThreadPoolExecutor
+
+    manifest = increments.Manifest(spark, root)
+    empty = spark.createDataFrame([], increments.LISTING), spark.createDataFrame([], increments.STATE)
+
+    def attempt(name):
+        try:
+            return manifest.commit(name, 0)
+        except RuntimeError:
+            return 0
+
+    for name in "ab":
+        manifest.prepare(name, *empty)
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(attempt, "ab")) == [0, 1]
+    for version in range(1, increments.SNAPSHOT):
+        manifest.prepare(f"r{version}", *empty)
+        manifest.commit(f"r{version}", version)
+    assert len(manifest._named("files")) == 1 and manifest.entries().count() == 0 and manifest.records().count() == 0
 
 
 # ---- change feeds
