@@ -6,7 +6,6 @@ import argparse
 import sys
 
 from statelake.dataset import EXPORTS, Catalog, Dataset
-from statelake.operators.assemble import assemble
 from statelake.plans.query import parse
 from statelake.session import build_session
 
@@ -58,8 +57,8 @@ def run(args: argparse.Namespace, catalog: Catalog) -> None:
         return
     dataset: Dataset = catalog.dataset(args.dataset)
     if args.command in ("entities", "statements"):
-        rows = dataset.query_statements(parse(args.query, args.rql))
-        _lines(assemble(rows, dataset.registry) if args.command == "entities" else rows)
+        query = parse(args.query, args.rql)
+        _lines(dataset.query(query) if args.command == "entities" else dataset.query_statements(query))
     elif args.command == "import-entities":
         dataset.import_entities(args.path, args.origin)
     elif args.command == "import-statements":
@@ -72,8 +71,6 @@ def run(args: argparse.Namespace, catalog: Catalog) -> None:
         _lines(dataset.archive.files())
     elif args.command == "export":
         print("made" if dataset.export(args.kind) else "fresh")
-    elif args.command == "unlock":
-        print(dataset.store.unlock())
     else:
         print(getattr(dataset, args.command)())
 

@@ -85,6 +85,11 @@ class Dataset:
     def flush(self) -> int:
         return self.journal.flush()
 
+    def unlock(self) -> bool:
+        """Free the locks that dead processes have left on the table and the journal."""
+        table, journal = self.store.unlock(), self.journal.unlock()
+        return table or journal
+
     # ---- reading
 
     def query_statements(self, query: Query | None = None, flush: bool = False) -> DataFrame:
@@ -93,8 +98,9 @@ class Dataset:
         return self.compiler.statements(self.store.live(), query or Query())
 
     def query(self, query: Query | None = None, flush: bool = False) -> DataFrame:
-        """Whole entities."""
-        return assemble(self.query_statements(query, flush), self.registry)
+        """Whole entities, in order if the query sorts."""
+        query = query or Query()
+        return self.compiler.in_order(assemble(self.query_statements(query, flush), self.registry), query)
 
     def get(self, entity_id: str) -> DataFrame:
         from statelake.plans.query import M

@@ -4,6 +4,15 @@ A leaf selects *entities*: those with at least one live row that satisfies it.
 Leaves combine per entity, and the result is every live row of the entities
 selected. Compiled, all leaves become one aggregate over one scan: a flag per
 leaf and entity, combined on the map side.
+
+A condition on the schema that must hold reads only the buckets of that schema,
+and one on the id only its shard. The shard holds the whole entity. An entity
+with rows in several buckets is seen, and given, as its rows in the buckets
+asked for.
+
+Sorted results are in order of the sort values (the smallest of each entity),
+then of entity and statement id; sorted entities stay in that order when they
+are assembled.
 """
 
 from __future__ import annotations
@@ -61,8 +70,6 @@ class Leaf(Expr):
             raise QueryError(f"unknown {self.kind} field {self.name!r}")
         if self.op in ("in", "not_in"):
             self.value = list(self.value) if isinstance(self.value, (list, tuple, set)) else str(self.value).split(",")
-            if len(self.value) > MAX_VALUES:
-                raise QueryError(f"more than {MAX_VALUES} values")
 
     def leaves(self) -> list["Leaf"]:
         return [self]
@@ -162,6 +169,8 @@ class Query:
         """Enforce the limits of outside queries."""
         if self.where_ and len(self.where_.leaves()) > MAX_LEAVES:
             raise QueryError(f"more than {MAX_LEAVES} conditions")
+        if self.where_ and any(isinstance(leaf.value, list) and len(leaf.value) > MAX_VALUES for leaf in self.where_.leaves()):
+            raise QueryError(f"more than {MAX_VALUES} values")
         return self
 
 
@@ -361,43 +370,57 @@ class Compiler:
 
     def entity_ids(self, live: DataFrame, query: Query) -> DataFrame:
         """``entity_id`` of the entities selected, sorted and sliced if the query says so."""
+        return self._selected(live, query).select("entity_id")
+
+    def _selected(self, live: DataFrame, query: Query) -> DataFrame:
+        """``entity_id`` and the sort values ``__s0`` … of the entities selected."""
         if query.where_ is None and not query.sort:
-            ids = live.select("entity_id").distinct()
-        else:
-            leaves = query.where_.leaves() if query.where_ else []
-            predicates = [self.predicate(l) for l in leaves]
-            flags = [F.max(p.cast("int")).alias(f"f{i}") for i, (p, _) in enumerate(predicates)]
-            keys = [F.min(F.when(F.col("prop") == prop, F.col("value"))).alias(f"s{i}") for i, (prop, _) in enumerate(query.sort)]
-            rows = live
-            if query.where_ is not None and isinstance(query.where_, Leaf) and not predicates[0][1] and not query.sort:
-                # a single condition needs no flags, so it reaches the scan
-                return self._slice(rows.where(predicates[0][0]).select("entity_id").distinct(), query)
-            held = rows.groupBy("entity_id").agg(*flags, *keys)
-            named = [(l, (F.coalesce(F.col(f"f{i}"), F.lit(0)) == (0 if absent else 1))) for i, (l, (_, absent)) in enumerate(zip(leaves, predicates))]
-            ids = held.where(self._combine(query.where_, named)) if query.where_ is not None else held
-            ids = ids.select("entity_id", *[f"s{i}" for i in range(len(query.sort))])
-        return self._slice(ids, query)
+            return self._slice(live.select("entity_id").distinct(), query)
+        leaves = query.where_.leaves() if query.where_ else []
+        predicates = [self.predicate(l) for l in leaves]
+        if query.where_ is not None and isinstance(query.where_, Leaf) and not predicates[0][1] and not query.sort:
+            # a single condition needs no flags, so it reaches the scan
+            return self._slice(live.where(predicates[0][0]).select("entity_id").distinct(), query)
+        flags = [F.max(p.cast("int")).alias(f"f{i}") for i, (p, _) in enumerate(predicates)]
+        keys = [F.min(F.when(F.col("prop") == prop, F.col("value"))).alias(f"__s{i}") for i, (prop, _) in enumerate(query.sort)]
+        held = live.groupBy("entity_id").agg(*flags, *keys)
+        named = [(l, (F.coalesce(F.col(f"f{i}"), F.lit(0)) == (0 if absent else 1))) for i, (l, (_, absent)) in enumerate(zip(leaves, predicates))]
+        ids = held.where(self._combine(query.where_, named)) if query.where_ is not None else held
+        return self._slice(ids.select("entity_id", *[f"__s{i}" for i in range(len(query.sort))]), query)
+
+    @staticmethod
+    def _order(columns: list[Column], query: Query) -> list[Column]:
+        return [c.asc_nulls_last() if up else c.desc_nulls_last() for c, (_, up) in zip(columns, query.sort)]
 
     def _slice(self, ids: DataFrame, query: Query) -> DataFrame:
-        order = [F.col(f"s{i}").asc_nulls_last() if up else F.col(f"s{i}").desc_nulls_last() for i, (_, up) in enumerate(query.sort)]
         if query.sort or query.start or query.stop is not None:
-            ids = ids.orderBy(*order, "entity_id")
+            ids = ids.orderBy(*self._order([F.col(f"__s{i}") for i in range(len(query.sort))], query), "entity_id")
             if query.start:
                 ids = ids.offset(query.start)
             if query.stop is not None:
                 ids = ids.limit(query.stop - query.start)
-        return ids.select("entity_id")
+        return ids
 
     def pruned(self, live: DataFrame, query: Query) -> DataFrame:
         extra = self.prunes(query.where_)
         return live.where(extra) if extra is not None else live
 
     def statements(self, live: DataFrame, query: Query) -> DataFrame:
-        """All live rows of the entities selected. Slices count entities, not rows."""
+        """All live rows of the entities selected, in order if the query sorts. Slices count entities, not rows."""
         live = self.pruned(live, query)
         if query.where_ is None and not query.sort and not query.start and query.stop is None:
             return live
-        return live.join(self.entity_ids(live, query), "entity_id", "left_semi")
+        if not query.sort:
+            return live.join(self.entity_ids(live, query), "entity_id", "left_semi")
+        rows = live.join(self._selected(live, query), "entity_id")  # an entity is selected once
+        order = self._order([F.col(f"__s{i}") for i in range(len(query.sort))], query)
+        return rows.orderBy(*order, "entity_id", "id", "origin", "fragment").select(live.columns)
+
+    def in_order(self, entities: DataFrame, query: Query) -> DataFrame:
+        """Assembled entities in the order of the query: what :meth:`statements` sorts by is the smallest value of each property."""
+        if not query.sort:
+            return entities
+        return entities.orderBy(*self._order([F.array_min(F.col("properties")[prop]) for prop, _ in query.sort], query), "id")
 
     def count(self, live: DataFrame, query: Query) -> DataFrame:
         return self.entity_ids(self.pruned(live, query), query).agg(F.count(F.lit(1)).alias("entities"))

@@ -4,8 +4,10 @@ Writers add batches; nothing is indexed. A drain is one ``availableNow`` run of
 a file stream: its checkpoint claims each landed file once, every micro-batch is
 appended to the table, and a run that dies is replayed from the checkpoint. A
 batch may then be appended twice, which the merge collapses: at-least-once
-delivery, exactly-once state. Event-time windows and sessions over a journal are
-plain stateful operators on top (:func:`windowed_counts`).
+delivery, exactly-once state. One drain runs at a time; a second one is refused
+until the first has ended or :meth:`Journal.unlock` frees it. Event-time windows
+and sessions over a journal are plain stateful operators on top
+(:func:`windowed_counts`).
 """
 
 from __future__ import annotations
@@ -13,14 +15,14 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from statelake.functions.ids import entity_shard
 from statelake.schema import NAMES, NULLABLE, conform, enforce_required
 from statelake.sources.files import from_ipc
 from statelake.sources.paths import Folder
-from statelake.sources.store import StatementStore
+from statelake.sources.store import Conflict, StatementStore
 
 
 class Journal:
@@ -62,6 +64,20 @@ class Journal:
 
     def flush(self, max_files: int = 1000) -> int:
         """Drain to the table; returns the number of rows. Drained files go only after all of them are durable."""
+        if not self.folder.create(".FLUSH", uuid.uuid4().hex):
+            raise Conflict("another flush is under way; if its process has died, unlock the journal")
+        try:
+            return self._drain(max_files)
+        finally:
+            self.folder.delete(".FLUSH")
+
+    def unlock(self) -> bool:
+        """Free a drain whose process has died; the next one takes up what it left."""
+        held = self.folder.exists(".FLUSH")
+        self.folder.delete(".FLUSH")
+        return held
+
+    def _drain(self, max_files: int) -> int:
         names = [n for n in self.folder.names("landing") if n.endswith(".parquet")]
         if not names:
             if not self.store.tags.get("optimized"):
@@ -71,9 +87,11 @@ class Journal:
         counts: list[int] = []
 
         def sink(batch: DataFrame, _: int) -> None:
-            # the count rides on the batch's own write; persisting it would hold rows in memory
-            counts.append(batch.count())
-            self.store.append(batch.select(*NAMES))
+            if batch.isEmpty():  # nothing to write, so nothing would be observed
+                return
+            seen = Observation()
+            self.store.append(batch.select(*NAMES).observe(seen, F.count(F.lit(1)).alias("rows")))
+            counts.append(seen.get["rows"])
 
         stream = self.spark.readStream.schema(NULLABLE).option("maxFilesPerTrigger", max_files).parquet(f"{self.root}/landing")
         query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).queryName(f"flush_{uuid.uuid4().hex[:8]}").start()

@@ -60,7 +60,7 @@ def test_store_merge_compact_vacuum(spark, root):
     assert not store.exists()
 
 
-def test_store_guards(spark, root):
+def test_store_guards(spark, root, monkeypatch):
     store = StatementStore(spark, root)
     with pytest.raises(Exception, match="without value"):
         store.append(statements(spark, s(value=None)))
@@ -68,13 +68,111 @@ def test_store_guards(spark, root):
         store.append(statements(spark, s(origin="../x")))
     store.append(statements(spark, s()))
     with pytest.raises(Conflict):
-        store._commit(0, [], "late")
+        store._commit(0, [], [], "late")
+    monkeypatch.setattr(StatementStore, "WAIT", 0.001)
+    monkeypatch.setattr(StatementStore, "TRIES", 2)
     store.folder.create(".LOCK", "")
-    with pytest.raises(Conflict):
-        store.lock(0.001, 2).__enter__()
-    with pytest.raises(Conflict):
-        store._fence(0.001, 2)
+    for blocked in (store.vacuum, store.merge, store.compact, lambda: store.append(statements(spark, s("x")))):
+        with pytest.raises(Conflict, match="locked"):
+            blocked()
+    assert store.folder.names("appending") == [], "a refused append withdraws its marker"
     assert store.unlock() and not store.unlock()
+    store.folder.create("appending/dead", "")
+    for blocked in (store.vacuum, store.merge, lambda: store.compact(), store.destroy):
+        with pytest.raises(Conflict, match="append is under way"):
+            blocked()
+    assert not store.folder.exists(".LOCK"), "maintenance that gives up frees its lock"
+    assert store.unlock() and store.raw().count() == 1
+
+
+def test_vacuum_spares_an_append_under_way(spark, root, monkeypatch):
+    """Files that are written but not committed yet outlive a vacuum, a merge and a compaction, and no row is lost."""
+    import threading
+
+    store, other = StatementStore(spark, root), StatementStore(spark, root)
+    store.append(statements(spark, s("a"), s("b", origin="x")))
+    store.append(statements(spark, s("a", first=2)))
+    written, go = threading.Event(), threading.Event()
+    write = StatementStore._write
+
+    def slow(self, rows, operation):
+        found = write(self, rows, operation)
+        if operation == "append":
+            written.set()
+            assert go.wait(60)
+        return found
+
+    monkeypatch.setattr(StatementStore, "_write", slow)
+    monkeypatch.setattr(StatementStore, "WAIT", 0.01)
+    late = threading.Thread(target=lambda: other.append(statements(spark, s("c"), s("d", origin="x"))))
+    late.start()
+    assert written.wait(60)
+    monkeypatch.setattr(StatementStore, "TRIES", 3)
+    for maintain in (store.vacuum, lambda: store.merge(now=NOW), store.compact):
+        with pytest.raises(Conflict, match="append is under way"):
+            maintain()
+    monkeypatch.setattr(StatementStore, "TRIES", 200)
+    done = []
+    cleaning = threading.Thread(target=lambda: done.append(store.vacuum()))
+    cleaning.start()
+    go.set()
+    late.join(60)
+    cleaning.join(60)
+    assert done == [0] and sorted(r["id"] for r in store.raw().collect()) == ["a", "a", "b", "c", "d"]
+    store.merge(now=NOW)
+    store.vacuum()
+    assert sorted(r["id"] for r in store.raw().collect()) == ["a", "b", "c", "d"] and not store.needs_merge()
+
+
+def test_of_two_committers_one_wins_each_version(spark, root):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = StatementStore(spark, root)
+    store.ensure()
+    entry = lambda n: {"path": f"p{n}", "shard": "0", "bucket": "b", "origin": "o", "size": 1, "by": "append"}
+    folders = [Folder(spark, root) for _ in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda f: f.create("log/race", "x" * 100_000), folders)) == 1
+    assert len(store.folder.read("log/race")) == 100_000 and store.folder.names("log") == ["race", "v000000000000.json"]
+
+    def commit(n):
+        while True:
+            try:
+                return store._commit(store.version(), [entry(n)], [], "append")
+            except Conflict:
+                pass
+
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(commit, range(40)))
+    assert sorted(versions) == list(range(1, 41)) and len(store.files()) == 40 and len(store.files(7)) == 7
+    assert [n for n in store.folder.names("log") if n.startswith("s")] == ["s000000000016.json", "s000000000032.json"]
+    store._commit(40, [], [entry(3)], "compact")
+    assert len(store.files()) == 39 and len(store.files(40)) == 40
+
+
+def test_compaction_copies_blocks_and_keeps_partitions_dirty(spark, root):
+    store = StatementStore(spark, root, 2)
+    for day in range(4):
+        store.append(statements(spark, s("a", first=day), s("b", origin="x y:z", first=day), s("c", shard="1", bucket="pages", first=day)))
+    before = sorted(map(tuple, store.raw().collect()), key=repr)
+    assert len(store.files()) == 12 and store.compact() == 9 and len(store.files()) == 3
+    assert sorted(map(tuple, store.raw().collect()), key=repr) == before
+    assert store.partitions() == [("0", "thing", "ingest"), ("0", "thing", "x y:z"), ("1", "pages", "ingest")] and len(store.dirty()) == 3
+    assert [(k, df.count()) for k, df in store.by_partition()] == [(("0", "thing"), 8), (("1", "pages"), 4)]
+    store.merge(now=NOW)
+    store.append(statements(spark, s("d")))
+    assert store.compact() == 0 and store.dirty() == [("0", "thing", "ingest")], "merged and appended files are not joined"
+    assert store.vacuum() > 0 and store.raw().count() == 4
+
+
+def test_flushes_exclude_each_other(spark, root):
+    ds = Catalog(spark, root).dataset("quay")
+    ds.journal.add(statements(spark, s("a")))
+    ds.journal.folder.create(".FLUSH", "")
+    with pytest.raises(Conflict, match="another flush"):
+        ds.flush()
+    assert ds.journal.count() == 1 and ds.unlock() and not ds.unlock()
+    assert ds.flush() == 1 and ds.journal.is_empty()
 
 
 def test_dataset_life(spark, root):
