@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from statelake.session import Scratch
@@ -48,35 +48,27 @@ def newest_nodes(folders: DataFrame) -> DataFrame:
     return nodes.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"), "name")
 
 
-def _rank(column: str, number: int) -> Column:
-    # a text literal stays out of the generated code, which is thus compiled once for all steps
-    return F.xxhash64(F.col(column), F.lit(str(number)))
+# One rake and one compress; {k} is the step's number. ``gone`` marks removed nodes, those of earlier steps as well, which pass unchanged.
+# A node that is its own parent is what is left of a loop: it becomes the root of all that hangs below. A leaf below a spliced
+# node moves up with it, so that its recorded parent outlives this step. Ranks take the number as text, which stays out of the
+# generated code: it is compiled once for all steps.
+_STEP = """
+    WITH nodes AS (
+        SELECT id, IF(round, NULL, parent) AS parent, seg, lo, IF(round, least(id, lo), loop) AS loop, gone, NOT gone AND NOT round AND parent IS NOT NULL AS hangs
+        FROM (SELECT *, NOT gone AND coalesce(id = parent, false) AS round FROM {active})),
+    kids AS (SELECT parent AS id, count(*) AS kids, min(id) AS child FROM nodes WHERE hangs GROUP BY parent),
+    marked AS (
+        SELECT n.*, hangs AND kids IS NULL AS leaf,
+               coalesce(hangs AND kids = 1 AND xxhash64(n.id, '{k}') > xxhash64(parent, '{k}') AND xxhash64(n.id, '{k}') > xxhash64(child, '{k}'), false) AS splice
+        FROM nodes n LEFT JOIN kids k ON n.id = k.id),
+    spliced AS (SELECT id AS via, parent AS up, seg AS up_seg, lo AS up_lo FROM marked WHERE splice),
+    moved AS (SELECT m.*, up, up_seg, up_lo, up IS NOT NULL AND hangs AND NOT splice AS lift FROM marked m LEFT JOIN spliced ON parent = via)
+    SELECT id, IF(lift, up, parent) AS parent, IF(lift, concat(up_seg, seg), seg) AS seg, IF(lift, least(lo, up_lo, parent), lo) AS lo, loop, gone OR leaf OR splice AS gone
+    FROM moved"""
 
 
 def _step(active: DataFrame, number: int) -> DataFrame:
-    """One rake and one compress. ``gone`` marks removed nodes, those of earlier steps as well, which pass unchanged."""
-    # a node that is its own parent is what is left of a loop: it becomes the root of all that hangs below
-    loop = ~F.col("gone") & F.coalesce(F.col("id") == F.col("parent"), F.lit(False))
-    nodes = active.select(
-        "id", F.when(~loop, F.col("parent")).alias("parent"), "seg", "lo", F.when(loop, F.least("id", "lo")).otherwise(F.col("loop")).alias("loop"), "gone"
-    )
-    kids = nodes.where("not gone and parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"), F.min("id").alias("child"))
-    hangs = ~F.col("gone") & F.col("parent").isNotNull()
-    counted = nodes.join(kids, "id", "left").withColumn("leaf", F.col("kids").isNull() & hangs)
-    higher = (_rank("id", number) > _rank("parent", number)) & (_rank("id", number) > _rank("child", number))
-    marked = counted.withColumn("splice", F.coalesce((F.col("kids") == 1) & hangs & higher, F.lit(False)))
-    spliced = marked.where("splice").select(F.col("id").alias("parent"), F.col("parent").alias("up"), F.col("seg").alias("up_seg"), F.col("lo").alias("up_lo"))
-    moved = marked.join(spliced, "parent", "left")
-    # a leaf below a spliced node moves up too, so that its recorded parent outlives this step
-    lift = F.col("up").isNotNull() & ~F.col("splice") & ~F.col("gone")
-    return moved.select(
-        "id",
-        F.when(lift, F.col("up")).otherwise(F.col("parent")).alias("parent"),
-        F.when(lift, F.concat("up_seg", "seg")).otherwise(F.col("seg")).alias("seg"),
-        F.when(lift, F.least("lo", "up_lo", "parent")).otherwise(F.col("lo")).alias("lo"),
-        "loop",
-        (F.col("gone") | F.col("leaf") | F.col("splice")).alias("gone"),
-    )
+    return active.sparkSession.sql(_STEP.replace("{k}", str(number)), active=active)
 
 
 def contract(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame], int]:

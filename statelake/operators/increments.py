@@ -56,8 +56,7 @@ def land(statements: DataFrame, folder: str) -> None:
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """``path, batch_no, size, checksum`` of each input file; paths are relative to ``folder``. Contents are hashed where they lie and not decoded."""
-    here = Folder(spark, folder)
-    if not any(n.startswith("batch_no=") for n in here.names()):
+    if not Folder(spark, folder).exists(""):
         return spark.createDataFrame([], LISTING)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
     path = F.regexp_extract("path", "(batch_no=[^/]*/.*)$", 1)
