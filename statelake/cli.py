@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from contextlib import nullcontext
 
-from statelake.dataset import EXPORTS, Catalog, Dataset
+from statelake.dataset import ARTIFACTS, EXPORTS, Catalog, Dataset
 from statelake.plans.query import parse
 from statelake.session import build_session
 
@@ -19,7 +21,7 @@ def build_parser() -> argparse.ArgumentParser:
     configure = commands.add_parser("configure")
     configure.add_argument("--title")
     configure.add_argument("--shards", type=int)
-    configure.add_argument("--compression", choices=["gz"])
+    configure.add_argument("--compression", choices=["gz", "zst"])
     for name in ("entities", "statements"):
         show = commands.add_parser(name)
         show.add_argument("--query", "-q", help="filter:schema=Person&...")
@@ -38,6 +40,14 @@ def build_parser() -> argparse.ArgumentParser:
         commands.add_parser(name)
     export = commands.add_parser("export")
     export.add_argument("kind", choices=EXPORTS)
+    stream = commands.add_parser("stream", help="an export as one plain text")
+    stream.add_argument("kind", choices=list(ARTIFACTS))
+    stream.add_argument("--out", "-o", help="a local file; else standard output")
+    for name in ("delete-entity", "delete-statement"):
+        commands.add_parser(name).add_argument("id")
+    for name in ("archive-head", "archive-get"):
+        commands.add_parser(name).add_argument("checksum")
+    commands.add_parser("archive-download").add_argument("target")
     return parser
 
 
@@ -66,11 +76,25 @@ def run(args: argparse.Namespace, catalog: Catalog) -> None:
     elif args.command == "sql":
         _lines(dataset.sql(args.text))
     elif args.command == "crawl":
-        print(len(dataset.archive.crawl(args.source, policy=args.policy, glob=args.glob, exclude_glob=args.exclude_glob)))
+        print(dataset.archive.crawl(args.source, policy=args.policy, glob=args.glob, exclude_glob=args.exclude_glob).count())
     elif args.command == "files":
         _lines(dataset.archive.files())
     elif args.command == "export":
         print("made" if dataset.export(args.kind) else "fresh")
+    elif args.command == "stream":
+        with open(args.out, "wb") if args.out else nullcontext(sys.stdout.buffer) as out:
+            dataset.stream_export(args.kind, out)
+    elif args.command == "delete-entity":
+        print(dataset.delete_entity(args.id))
+    elif args.command == "delete-statement":
+        print(dataset.delete_statement(args.id))
+    elif args.command == "archive-head":
+        print(json.dumps(dataset.archive.records(args.checksum)))
+    elif args.command == "archive-get":
+        for chunk in dataset.archive.stream(args.checksum):
+            sys.stdout.buffer.write(chunk)
+    elif args.command == "archive-download":
+        print(dataset.archive.download(args.target).count())
     else:
         print(getattr(dataset, args.command)())
 

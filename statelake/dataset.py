@@ -10,6 +10,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statelake.functions.ids import entity_shard
 from statelake.functions.values import validate_dataset_name
 from statelake.operators import documents as docs
 from statelake.operators.assemble import assemble, explode, override, tombstones
@@ -18,12 +19,14 @@ from statelake.operators.stats import summary
 from statelake.plans.query import Compiler, Query
 from statelake.registry import Registry
 from statelake.sources.archive import Archive
-from statelake.sources.files import csv_projection, read_csv_text, read_entities, statements_from_csv, write_csv, write_entities
+from statelake.sources.compressed import SUFFIX, stream_out, write_lines
+from statelake.sources.files import csv_line, csv_projection, read_csv_text, read_entities, statements_from_csv, write_csv, write_entities
 from statelake.sources.paths import Folder
 from statelake.sources.store import StatementStore
 from statelake.sources.tags import Jobs, Tags, Versions, utc_now
 from statelake.streaming.journal import Journal
 
+ARTIFACTS = {"statements": "statements.csv", "entities": "entities.json", "documents": "documents.csv"}
 EXPORTS = ("statements", "entities", "documents", "statistics", "index")
 
 
@@ -32,7 +35,7 @@ class Config:
     name: str
     title: str | None = None
     shards: int = 1
-    compression: str | None = None
+    compression: str | None = None  # of exports: gz, zst or none
     public_url_prefix: str | None = None
     updated_at: str | None = None
 
@@ -40,6 +43,8 @@ class Config:
 class Dataset:
     def __init__(self, spark: SparkSession, root: str, config: Config, registry: Registry | None = None):
         validate_dataset_name(config.name)
+        if config.compression not in SUFFIX:
+            raise ValueError(f"unknown compression {config.compression!r}")
         self.spark, self.root, self.config = spark, root.rstrip("/"), config
         self.registry = registry or Registry()
         self.folder = Folder(spark, self.root)
@@ -58,6 +63,11 @@ class Dataset:
         rows = explode(entities, self.registry, self.config.name, self.config.shards, now or utc_now().strftime("%Y-%m-%d %H:%M:%S"), origin)
         self.store.append(rows) if bulk else self.journal.add(rows)
 
+    def write_statements(self, rows: DataFrame, bulk: bool = False) -> None:
+        """Statement rows as they are, into the journal, or straight into the table; shards are derived anew."""
+        sharded = rows.withColumn("shard", entity_shard(F.col("entity_id"), self.config.shards))
+        self.store.append(sharded) if bulk else self.journal.add(sharded)
+
     def import_entities(self, path: str, origin: str | None = None, bulk: bool = True) -> None:
         self.write_entities(read_entities(self.spark, path), origin, bulk)
 
@@ -138,8 +148,7 @@ class Dataset:
         if kind not in EXPORTS:
             raise ValueError(f"unknown export {kind!r}")
         self._prepare()
-        merged, target = self.store.tags.get("optimized"), self.tags.get(f"exports/{kind}")
-        if not force and merged and target and target > merged:
+        if not force and Tags(self.folder).is_latest(f"tags/exports/{kind}", ["statements/tags/optimized"]):
             return False
         started = utc_now()
         self.jobs.run(f"export-{kind}", lambda job: getattr(self, f"_export_{kind}")())
@@ -155,12 +164,29 @@ class Dataset:
         return f"{self.root}/exports/{name}"
 
     def _export_statements(self) -> None:
-        write_csv(self.store.live(), self._out("statements.csv"), "gzip" if self.config.compression == "gz" else "none")
+        write_csv(self.store.live(), self._out(ARTIFACTS["statements"]), self.config.compression)
 
     def _export_entities(self) -> None:
-        write_entities(self.query(), self._out("entities.ftm.json"), "gzip" if self.config.compression == "gz" else "none")
+        write_entities(self.query(), self._out(ARTIFACTS["entities"]), self.config.compression)
         self.export_diff("entities")
 
+    def stream_export(self, kind: str, out) -> int:
+        """Write an export to an open binary file as one plain text, whatever its compression; returns the bytes."""
+        if kind not in ARTIFACTS:
+            raise ValueError(f"{kind!r} is not exported in parts")
+        path = self._out(ARTIFACTS[kind])
+        if not Folder(self.spark, path).exists(""):
+            raise FileNotFoundError(f"{kind} have not been exported")
+        return stream_out(self.spark, path, out, head=ARTIFACTS[kind].endswith(".csv"))
+
+    def exported_entities(self) -> DataFrame:
+        """The entities of the last export, without a query over the table."""
+        return read_entities(self.spark, self._out(ARTIFACTS["entities"]))
+
+    def exported_statements(self) -> DataFrame:
+        """The statements of the last export, as text columns."""
+        return read_csv_text(self.spark, self._out(ARTIFACTS["statements"]))
+
     def _documents(self) -> DataFrame:
         entities = self.query(Query())
         paths = docs.folder_paths(entities.where("schema = 'Folder'"))
@@ -169,7 +195,8 @@ class Dataset:
     def _export_documents(self) -> None:
         listing = self._documents()
         if not listing.isEmpty():
-            listing.orderBy("path", "name", "id").write.mode("overwrite").option("header", True).csv(self._out("documents.csv"))
+            rows = listing.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss")).orderBy("path", "name", "id")
+            write_lines(rows.select(csv_line(rows.columns)), self._out(ARTIFACTS["documents"]), self.config.compression, ",".join(rows.columns))
             self.export_diff("documents")
 
     def _export_statistics(self) -> None:
@@ -200,7 +227,7 @@ class Dataset:
             else:
                 lines = envelopes(feed)
             done = self._out(f"diff/{kind}/{now.replace(' ', 'T').replace(':', '')}")
-            lines.write.mode("overwrite").text(done)
+            write_lines(lines, done)
         self.folder.write(state, f"{now}|{current}")
         return done
 

@@ -28,8 +28,13 @@ def entity_shard(entity_id: Column, shards: int) -> Column:
 
 
 def statement_id(dataset: Column, entity_id: Column, prop: Column, value: Column, external: Column, lang: Column) -> Column:
-    """Content hash of a statement under its dataset; null if there is no value."""
-    parts = F.concat_ws(".", dataset, entity_id, prop, value, F.when(external, F.lit("ext")), F.concat(F.lit("@"), lang))
+    """Content hash of a statement under its dataset; null if there is no value.
+
+    Every part but the last is preceded by its length, so no two statements have one text, whatever their parts hold.
+    """
+    sized = [x for c in (dataset, entity_id, prop) for x in (F.length(c).cast("string"), c)]
+    flags = [F.when(external, "1").otherwise("0"), F.coalesce(F.length(lang), F.lit(-1)).cast("string"), F.coalesce(lang, F.lit(""))]
+    parts = F.concat_ws("|", *sized, *flags, value)
     return F.when(value.isNotNull() & entity_id.isNotNull() & prop.isNotNull(), F.sha1(parts))
 
 
@@ -103,5 +108,6 @@ def register_sql_functions(spark: SparkSession) -> None:
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION statement_id(dataset STRING, entity_id STRING, prop STRING, value STRING, external BOOLEAN, lang STRING) RETURNS STRING RETURN "
         "CASE WHEN value IS NOT NULL AND entity_id IS NOT NULL AND prop IS NOT NULL THEN "
-        "sha1(concat_ws('.', dataset, entity_id, prop, value, CASE WHEN external THEN 'ext' END, '@' || lang)) END"
+        "sha1(concat_ws('|', string(length(dataset)), dataset, string(length(entity_id)), entity_id, string(length(prop)), prop, "
+        "CASE WHEN external THEN '1' ELSE '0' END, string(coalesce(length(lang), -1)), coalesce(lang, ''), value)) END"
     )

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 # Fixed values.
 MAX_NAME = 255
 RESERVED_DATASETS = {"catalog", "default"}
+DEFAULT_ORIGIN = "default"
 OCTET_STREAM = "application/octet-stream"
-UNITS = {"": 1, "b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "tb": 10**12, "kib": 1 << 10, "mib": 1 << 20, "gib": 1 << 30, "tib": 1 << 40}
+UNITS = {"": 1, "b": 1} | {f"{p}{tail}": base**n for n, p in enumerate("kmgtp", 1) for tail, base in (("", 1000), ("b", 1000), ("ib", 1024))}
 
 # MIME types of archived files and the entity schema they become; anything else is a Document.
 MIME_SCHEMATA = {
@@ -20,16 +21,23 @@ MIME_SCHEMATA = {
     "application/msword": "Pages",
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "Pages",
     "text/html": "HyperText",
+    "text/xml": "HyperText",
+    "application/xml": "HyperText",
     "text/plain": "PlainText",
+    "text/rtf": "PlainText",
+    "application/rtf": "PlainText",
     "text/csv": "Table",
     "application/vnd.ms-excel": "Table",
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "Table",
     "message/rfc822": "Email",
     "application/vnd.ms-outlook": "Email",
+    "application/oebps-package+xml": "Email",
     "image/jpeg": "Image",
     "image/png": "Image",
     "image/gif": "Image",
     "image/tiff": "Image",
+    "image/vnd.djvu": "Image",
+    "image/vnd.adobe.photoshop": "Image",
 }
 _UNSAFE = re.compile(r"[/\\\x00-\x1f\x7f]")
 
@@ -53,8 +61,8 @@ def validate_dataset_name(value: str | None) -> str:
     name = safe_name(value, "dataset")
     if name in RESERVED_DATASETS:
         raise ValueError(f"dataset name {name!r} is reserved")
-    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", name):
-        raise ValueError(f"dataset name {name!r} holds other characters than letters, digits, '_' and '-'")
+    if not re.fullmatch(r"[a-z0-9_]+", name):
+        raise ValueError(f"dataset name {name!r} holds other characters than lower-case letters, digits and '_'")
     return name
 
 
@@ -85,6 +93,11 @@ def single_string(values: Column) -> Column:
     return F.when(F.size(values) == 1, values[0])
 
 
+def resolve_origin(forced: str | None, own: Column, given: str | None = None) -> Column:
+    """The origin of a row: one that is forced, else its own, else one given for the run, else the default."""
+    return F.coalesce(F.lit(forced).cast("string"), own, F.lit(given).cast("string"), F.lit(DEFAULT_ORIGIN))
+
+
 def normal_mime(column: Column) -> Column:
     """Lower case, without parameters; null if there is none."""
     return F.nullif(F.lower(F.trim(F.regexp_replace(column, ";.*$", ""))), F.lit(""))

@@ -1,7 +1,7 @@
 """Statements into whole entities and back.
 
-``assemble`` groups live statements in two levels: distinct values per
-(entity, property) first, with map-side combine, then one row per entity. The
+``assemble`` groups live statements in two levels over one scan: distinct values
+per (entity, property) first, with map-side combine, then one row per entity. The
 row itself holds every value of its entity, as the result is defined; what is
 shuffled is distinct values only.
 
@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statelake.functions.ids import base_checksum, entity_shard, statement_id, strip_namespace
-from statelake.functions.values import single_string
+from statelake.functions.values import resolve_origin, single_string
 from statelake.registry import Registry
-from statelake.schema import BASE_ID, DEFAULT_ORIGIN, NAMES
+from statelake.schema import BASE_ID, NAMES
 
 ENTITY = (
     "id string, schema string, properties map<string,array<string>>, caption string, referents array<string>, datasets array<string>, "
@@ -30,25 +30,23 @@ ENTITY = (
 def assemble(live: DataFrame, registry: Registry) -> DataFrame:
     """One row per entity: id, schema, caption, properties, datasets, origin and its dates."""
     named = F.col("prop") != BASE_ID
-    rows = live.where("entity_id is not null")
-    values = (
-        rows.where(named & F.col("value").isNotNull())
-        .groupBy("entity_id", "prop", "value")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("entity_id", "prop")
-        .agg(F.array_sort(F.collect_list("value")).alias("values"))
-        .groupBy("entity_id")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prop", "values")))).alias("properties"))
+    sets = ("schema", "dataset", "origin")
+    props = live.where("entity_id is not null").groupBy("entity_id", "prop").agg(
+        F.collect_set(F.when(named, F.col("value"))).alias("values"),
+        *[F.collect_set(c).alias(c) for c in sets],
+        F.min("first_seen").alias("first_seen"),
+        F.max("first_seen").alias("change"),
+        F.max("last_seen").alias("last_seen"),
     )
-    facts = rows.groupBy("entity_id").agg(
-        F.array_sort(F.collect_set("schema")).alias("schemata"),
-        F.array_sort(F.collect_set("dataset")).alias("datasets"),
-        F.array_sort(F.collect_set("origin")).alias("origin"),
+    joined = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))) for c in sets]
+    facts = props.groupBy("entity_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.size("values") > 0, F.struct("prop", F.array_sort("values").alias("values")))))).alias("properties"),
+        *[c.alias(name) for c, name in zip(joined, ("schemata", "datasets", "origin"))],
         F.min(F.when(named, F.col("first_seen"))).alias("first_seen"),
         F.max(F.when(named, F.col("last_seen"))).alias("last_seen"),
-        F.max(F.when(~named, F.col("first_seen"))).alias("last_change"),
+        F.max(F.when(~named, F.col("change"))).alias("last_change"),
     )
-    whole = facts.join(values, "entity_id", "left").withColumn("schema", registry.merge_column(F.col("schemata"))).where("schema is not null")
+    whole = facts.withColumn("schema", registry.merge_column(F.col("schemata"))).where("schema is not null")
     properties = F.coalesce("properties", F.create_map().cast("map<string,array<string>>"))
     return whole.select(
         F.col("entity_id").alias("id"),
@@ -87,7 +85,7 @@ def explode(entities: DataFrame, registry: Registry, dataset: str, shards: int =
         strip_namespace(F.col("id")).alias("entity_id"),
         checked.alias("schema"),
         "properties",
-        F.coalesce(F.lit(override_origin).cast("string"), one("origin"), F.lit(origin).cast("string"), F.lit(DEFAULT_ORIGIN)).alias("origin"),
+        resolve_origin(override_origin, one("origin"), origin).alias("origin"),
         F.coalesce(one("fragment"), F.lit("")).alias("fragment"),
         seen.alias("first_seen"),
     ).where("entity_id is not null")

@@ -6,13 +6,16 @@ Plan
    hash and the time bucket in which it arrived. Copies inside one bucket
    collapse in a hash aggregate with map-side combine, so one identifier that
    makes up a third of the feed costs one row per task.
-2. The reduced rows are stored once, partitioned by time bucket and sliced by
+2. The reduced rows are stored once, partitioned by time bucket and in order of
    hash. This is the *bucketed storage*.
-3. ``screen``: one task per hash slice walks the time buckets in order with one
+3. ``screen``: one task per hash slice reads hashes in order of time with one
    Bloom filter per bucket. Identifiers that no earlier filter knows are
-   definitely new; for the rest it names the buckets whose filters matched.
-4. Only the (bucket, hash) combinations named there are read back from storage
-   and compared by their exact identifiers.
+   definitely new; for the rest it names the buckets whose filters matched, and
+   of a message repeated inside its bucket that bucket. The task holds filters,
+   some three bytes an identifier, and never the hashes; slices have about
+   ``SLICE_ROWS`` rows, however many there are.
+4. The storage is read once more. Rows with a (bucket, hash) that was named are
+   compared by their exact identifiers, all others are dropped in the scan's task.
 
 Wide rows of messages that were delivered once are never shuffled: they pass an
 anti join against the (few) verified repeats.
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from statelake.session import Scratch, shuffle_partitions
@@ -38,6 +41,7 @@ from statelake.session import Scratch, shuffle_partitions
 BUCKET_SECONDS = 6 * 3600
 BITS_PER_KEY = 12
 PROBES = 6
+SLICE_ROWS = 4_000_000
 
 _SUSPECT = "__h bigint, __tb bigint"
 
@@ -74,36 +78,62 @@ class BloomFilter:
         return (hit & 1).all(axis=0)
 
 
+class GrowingFilter:
+    """Bloom filters of doubling size for a number of keys that is not known before."""
+
+    FIRST = 1 << 12
+
+    def __init__(self):
+        self.parts: list[BloomFilter] = []
+        self.room = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        while len(keys):
+            if not self.room:
+                self.room = self.FIRST << len(self.parts)
+                self.parts.append(BloomFilter(self.room))
+            taken, keys = keys[: self.room], keys[self.room :]
+            self.parts[-1].add(taken)
+            self.room -= len(taken)
+
+    def might_contain(self, keys: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(keys), dtype=bool)
+        for part in self.parts:
+            hit |= part.might_contain(keys)
+        return hit
+
+
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one hash slice: (hash, bucket) of every possible repeat and of the buckets that may hold its earlier copy."""
-    hashes, times = [], []
+    """Of one hash slice in order of time (hash, bucket, copies): (hash, bucket) of every possible repeat and of the buckets that may hold its earlier copy."""
+    known = GrowingFilter()  # all buckets together: most keys need this one probe only
+    earlier: list[tuple[int, GrowingFilter]] = []
+    own, now = GrowingFilter(), None
     for batch in batches:
-        hashes.append(batch.column(0).to_numpy(zero_copy_only=False))
-        times.append(batch.column(1).to_numpy(zero_copy_only=False))
-    if not hashes:
-        return
-    h, tb = np.concatenate(hashes), np.concatenate(times)
-    order = np.argsort(tb, kind="stable")
-    h, tb = h[order], tb[order]
-    known = BloomFilter(len(h))  # all earlier buckets together: most keys need this one probe only
-    filters: list[tuple[int, BloomFilter]] = []
-    starts = np.flatnonzero(np.r_[True, tb[1:] != tb[:-1]])
-    for lo, hi in zip(starts, np.r_[starts[1:], len(tb)]):
-        keys, now = h[lo:hi], int(tb[lo])
-        possible = keys[known.might_contain(keys)]
-        if len(possible):
-            matched = np.zeros(len(possible), dtype=bool)
-            for bucket, earlier in filters:
-                hit = earlier.might_contain(possible)
-                matched |= hit
-                if hit.any():
-                    yield _rows(possible[hit], bucket)
-            if matched.any():
-                yield _rows(possible[matched], now)
-        own = BloomFilter(len(keys))
-        own.add(keys)
-        known.add(keys)
-        filters.append((now, own))
+        if not batch.num_rows:
+            continue
+        h, tb, n = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        starts = np.flatnonzero(np.r_[True, tb[1:] != tb[:-1]])
+        for lo, hi in zip(starts, np.r_[starts[1:], len(tb)]):
+            if now != int(tb[lo]):
+                if now is not None:
+                    earlier.append((now, own))
+                own, now = GrowingFilter(), int(tb[lo])
+            keys = h[lo:hi]
+            inside = n[lo:hi] > 1
+            if inside.any():
+                yield _rows(keys[inside], now)
+            possible = keys[known.might_contain(keys)]
+            if len(possible):
+                matched = np.zeros(len(possible), dtype=bool)
+                for bucket, seen in earlier:
+                    hit = seen.might_contain(possible)
+                    matched |= hit
+                    if hit.any():
+                        yield _rows(possible[hit], bucket)
+                if matched.any():
+                    yield _rows(possible[matched], now)
+            own.add(keys)
+            known.add(keys)
 
 
 def _rows(keys: np.ndarray, bucket: int) -> pa.RecordBatch:
@@ -125,19 +155,20 @@ def repeated_messages(df: DataFrame, time_col: str = "received_at", bucket_secon
     """``id, origin, fragment, copies`` of every message that was delivered more than once."""
     spark = df.sparkSession
     scratch = Scratch(spark, "deliveries")
-    slices = slices or shuffle_partitions(spark)
     keys = (
         keyed(df, time_col, bucket_seconds)
         .where(F.col("__id").isNotNull())
         .groupBy("__tb", "__h", "__id", "__origin", "__fragment")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    storage = scratch.stage(keys.repartition(slices, "__h").sortWithinPartitions("__tb", "__h"), "storage", ["__tb"])
-    suspects = scratch.stage(storage.select("__h", "__tb").repartition(slices, "__h").mapInArrow(_screen, _SUSPECT), "suspects")
-    matched = storage.join(suspects.distinct(), ["__tb", "__h"], "left_semi")
-    inside = storage.where("__n > 1").join(suspects.distinct(), ["__tb", "__h"], "left_anti")
+    seen = Observation()
+    placed = keys.hint("rebalance", F.col("__tb")).sortWithinPartitions("__tb", "__h").observe(seen, F.count(F.lit(1)).alias("rows"))
+    storage = scratch.stage(placed, "storage", ["__tb"])
+    slices = slices or max(shuffle_partitions(spark), -(-seen.get["rows"] // SLICE_ROWS))
+    hashes = storage.select("__h", "__tb", "__n").repartition(slices, "__h").sortWithinPartitions("__tb")
+    suspects = scratch.stage(hashes.mapInArrow(_screen, _SUSPECT), "suspects")
     return (
-        matched.unionByName(inside)
+        storage.join(suspects.distinct(), ["__tb", "__h"], "left_semi")
         .groupBy(F.col("__id").alias("id"), F.col("__origin").alias("origin"), F.col("__fragment").alias("fragment"))
         .agg(F.sum("__n").alias("copies"))
         .where("copies > 1")

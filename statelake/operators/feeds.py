@@ -16,16 +16,20 @@ def changed_ids(raw: DataFrame, since: str) -> DataFrame:
 
 
 def diff(raw: DataFrame, since: str | None, registry: Registry) -> DataFrame:
-    """``op, id, entity``: ADD with the whole current entity, DEL for an id without live rows. ``since=None`` is the initial full feed."""
+    """``op, id, entity``: ADD with the whole current entity, DEL for an id without live rows. ``since=None`` is the initial full feed.
+
+    ``raw`` is read twice, for the state of each entity and for the rows of those that have changed, so it should be a table.
+    """
     live = raw.where("deleted_at is null")
     if since is None:
         current = assemble(live, registry)
         return current.select(F.lit("ADD").alias("op"), "id", F.struct(*current.columns).alias("entity"))
-    changed = changed_ids(raw, since)
-    current = assemble(live.join(changed, "entity_id", "left_semi"), registry)
+    moment = F.lit(since).cast(raw.schema["first_seen"].dataType)
+    new = F.coalesce(F.col("first_seen") >= moment, F.lit(False)) | F.coalesce(F.col("deleted_at") >= moment, F.lit(False))
+    states = raw.where("entity_id is not null").groupBy("entity_id").agg(F.max(new).alias("changed"), F.max(F.col("deleted_at").isNull()).alias("alive")).where("changed")
+    current = assemble(live.join(states.where("alive").select("entity_id"), "entity_id", "left_semi"), registry)
     added = current.select(F.lit("ADD").alias("op"), "id", F.struct(*current.columns).alias("entity"))
-    gone = changed.join(live.select("entity_id"), "entity_id", "left_anti")
-    removed = gone.select(F.lit("DEL").alias("op"), F.col("entity_id").alias("id"), F.lit(None).cast(added.schema["entity"].dataType).alias("entity"))
+    removed = states.where("not alive").select(F.lit("DEL").alias("op"), F.col("entity_id").alias("id"), F.lit(None).cast(added.schema["entity"].dataType).alias("entity"))
     return added.unionByName(removed)
 
 

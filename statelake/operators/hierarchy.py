@@ -44,14 +44,16 @@ def newest_nodes(folders: DataFrame) -> DataFrame:
     """``id, parent, name``, one row per id; ``parent`` is null for roots."""
     rows = folders.where("id is not null").groupBy("id").agg(F.max(F.struct("updated_at", "parent", "fileName")).alias("r"))
     nodes = rows.select("id", F.nullif(F.col("r.parent"), F.lit("")).alias("parent"), F.coalesce("r.fileName", F.lit("")).alias("name"))
-    known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    return nodes.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"), "name")
+    known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("known"))
+    # roots look for a name of their own, so that they do not all meet in one task
+    up = F.coalesce("parent", F.concat(F.lit("\0"), "id"))
+    return nodes.join(known, up == F.col("up"), "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"), "name")
 
 
 # One rake and one compress; {k} is the step's number. ``gone`` marks removed nodes, those of earlier steps as well, which pass unchanged.
 # A node that is its own parent is what is left of a loop: it becomes the root of all that hangs below. A leaf below a spliced
 # node moves up with it, so that its recorded parent outlives this step. Ranks take the number as text, which stays out of the
-# generated code: it is compiled once for all steps.
+# generated code: it is compiled once for all steps. Roots have no parent to look for; a name of their own spreads them over tasks.
 _STEP = """
     WITH nodes AS (
         SELECT id, IF(round, NULL, parent) AS parent, seg, lo, IF(round, least(id, lo), loop) AS loop, gone, NOT gone AND NOT round AND parent IS NOT NULL AS hangs
@@ -62,7 +64,7 @@ _STEP = """
                coalesce(hangs AND kids = 1 AND xxhash64(n.id, '{k}') > xxhash64(parent, '{k}') AND xxhash64(n.id, '{k}') > xxhash64(child, '{k}'), false) AS splice
         FROM nodes n LEFT JOIN kids k ON n.id = k.id),
     spliced AS (SELECT id AS via, parent AS up, seg AS up_seg, lo AS up_lo FROM marked WHERE splice),
-    moved AS (SELECT m.*, up, up_seg, up_lo, up IS NOT NULL AND hangs AND NOT splice AS lift FROM marked m LEFT JOIN spliced ON parent = via)
+    moved AS (SELECT m.*, up, up_seg, up_lo, up IS NOT NULL AND hangs AND NOT splice AS lift FROM marked m LEFT JOIN spliced ON coalesce(parent, concat('\\0', id)) = via)
     SELECT id, IF(lift, up, parent) AS parent, IF(lift, concat(up_seg, seg), seg) AS seg, IF(lift, least(lo, up_lo, parent), lo) AS lo, loop, gone OR leaf OR splice AS gone
     FROM moved"""
 

@@ -162,7 +162,7 @@ def _opened(source: str):
         fs, root = pa.fs.FileSystem.from_uri(source)
         for batch in batches:
             for name, number, expected, path in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                with fs.open_input_stream(f"{root}/{path}") as f:
+                with fs.open_input_stream(f"{root}/{path}", compression=None) as f:
                     yield name, number, expected, f.read()
 
     return images

@@ -1,11 +1,13 @@
 """Attribute–value rows into one wide, typed row per entity.
 
 Column-block pivoting: cells are written once, bucketed by entity and
-partitioned by attribute block (``BLOCK`` attributes each). Every block is then
-pivoted from its own files, without a shuffle since the buckets are the groups,
-and the blocks are joined to the list of entities bucket by bucket, again
-without a shuffle. A table of thousands of attributes costs one shuffle of its
-cells, and generated code never sees more than ``BLOCK`` columns at once.
+partitioned by attribute block (``BLOCK`` attributes each, more if there would be
+over ``MAX_BLOCKS`` blocks). Every block is then pivoted from its own files,
+without a shuffle since the buckets are the groups, and the blocks are
+merge-joined to the list of entities bucket by bucket, again without a shuffle
+and without a broadcast: blocks grow with the entities. A table of thousands of
+attributes costs one shuffle of its cells, and generated code never sees more
+than one block's columns at once.
 
 Cells are reduced to one row per entity and attribute by aggregates with
 map-side combine *before* they are distributed by entity, so an entity that
@@ -31,6 +33,7 @@ from statelake.operators.cells import PARSERS
 from statelake.session import Scratch, shuffle_partitions
 
 BLOCK = 16
+MAX_BLOCKS = 32
 TYPES = {"date": "date", "decimal": "decimal(38,2)", "integer": "decimal(38,0)", "string": "string"}
 
 
@@ -84,18 +87,19 @@ def many_values(records: DataFrame, props: list[tuple[str, str, bool]]) -> DataF
     return records.where(F.col("prop").isin(many) & F.col("entity_id").isNotNull() & F.col("value").isNotNull()).select("entity_id", "prop", "value").distinct()
 
 
-def widen(statements: DataFrame, schema_props: DataFrame, block: int = BLOCK, buckets: int | None = None) -> DataFrame:
+def widen(statements: DataFrame, schema_props: DataFrame, block: int | None = None, buckets: int | None = None) -> DataFrame:
     """One row per entity with a live record: ``entity_id`` and a typed column per attribute."""
     spark = statements.sparkSession
     props = attributes(schema_props)
+    block = block or max(BLOCK, -(-len(props) // MAX_BLOCKS))
     names = column_names(props)
     buckets = buckets or shuffle_partitions(spark)
     scratch = Scratch(spark, "widen")
     records = scratch.stage(live_records(statements).where("entity_id is not null"), "records")
     blocks = [props[i : i + block] for i in range(0, len(props), block)]
-    block_of = F.lit(-1)
+    block_of = F.when(F.lit(False), -1)
     for i, b in enumerate(blocks):
-        block_of = F.when(F.col("prop").isin([p for p, _, _ in b]), i).otherwise(block_of)
+        block_of = block_of.when(F.col("prop").isin([p for p, _, _ in b]), i)
     filled = cells(records, props).withColumn("block", block_of)
     everyone = records.select("entity_id").distinct().select("entity_id", F.lit("").alias("prop"), F.lit(None).cast("string").alias("cell"), F.lit(0).cast("long").alias("n"), F.lit(-1).alias("block"))
     stored = scratch.stage_bucketed(filled.unionByName(everyone), "entity_id", buckets, "block")
@@ -108,7 +112,7 @@ def widen(statements: DataFrame, schema_props: DataFrame, block: int = BLOCK, bu
             if many:
                 columns.append(F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0)).alias(f"{names[prop]}__n"))
         pivot = stored.where(F.col("block") == i).groupBy("entity_id").agg(*columns)
-        wide = wide.join(pivot, "entity_id", "left")
+        wide = wide.join(pivot.hint("merge"), "entity_id", "left")
     counts = [f"{names[p]}__n" for p, _, m in props if m]
     return wide.fillna(0, counts) if counts else wide
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statelake.operators import changes, deliveries, hierarchy, increments, skew, smallfiles, widen
+from statelake.operators import cells, changes, deliveries, hierarchy, increments, skew, smallfiles, widen
 from statelake.session import Scratch, shuffle_partitions, table
 
 HEAVY = (("entity_id", 0.02), ("shard", 0.10))
@@ -59,28 +59,25 @@ def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.resolve(hierarchy.newest_nodes(table(spark, sf_dir, "folders")))
 
 
-def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _folders(spark, sf_dir).select("id", "root_id", "depth", F.when(F.col("depth") >= 0, hierarchy.path_text()).alias("full_path"))
-
-
-def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.descendants(_folders(spark, sf_dir))
-
-
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.tree_with_files(table(spark, sf_dir, "folders"), table(spark, sf_dir, "files"))
 
 
-def p4_node_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``p4_paths`` of files as well as folders."""
+def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every folder and file: root, depth and full path."""
     return _nodes(spark, sf_dir).select("id", "root_id", "depth", F.when(F.col("depth") >= 0, hierarchy.path_text()).alias("full_path"))
 
 
-def p4_node_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``p4_descendants`` with the files below each folder."""
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every folder and file below each folder."""
     return hierarchy.descendants(_nodes(spark, sf_dir))
 
 
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of folders and files below each folder that has any."""
+    return hierarchy.descendant_counts(_nodes(spark, sf_dir))
+
+
 def p4_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folders(spark, sf_dir).where("depth < 0").select("id", F.col("root_id").alias("loop_id"))
 
@@ -114,7 +111,7 @@ def p7_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    p1_found, p1_deduped, p2_found, p2_entity_states, p2_shard_states, p3_found, p3_wide, p3_many_values, p4_found, p4_paths, p4_descendants, p4_node_paths, p4_node_descendants,
+    p1_found, p1_deduped, p2_found, p2_entity_states, p2_shard_states, p3_found, p3_wide, p3_many_values, p4_found, p4_paths, p4_descendants, p4_counts,
     p4_loops, p5_found, p5_compacted, p6_found, p7_found, p7_state,
 )
 
@@ -123,12 +120,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+def sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 _MESSAGE = "lower(regexp_replace(id, '^\\s+|\\s+$', '', 'g'))"
 _LIVE = """
     newest AS (SELECT id, origin, coalesce(fragment, '') AS fragment, max(last_seen) AS m FROM statements GROUP BY ALL),
     live AS (SELECT s.id, s.origin, coalesce(s.fragment, '') AS fragment, max(s.entity_id) AS entity_id, max(s.prop) AS prop, max(s.value) AS value
              FROM statements s JOIN newest n ON s.id = n.id AND s.origin = n.origin AND coalesce(s.fragment, '') = n.fragment AND s.last_seen = n.m
              GROUP BY 1, 2, 3 HAVING count(s.deleted_at) = 0)"""
+_WIDTHS = f"translate(value, {sql_text(cells.FULL_WIDTH)}, {sql_text(cells.ASCII)})"
+_CELLS = r"""
+    kinds AS (SELECT DISTINCT prop, cell_type FROM schema_props WHERE cell_type <> 'string' AND prop <> 'id'),
+    said AS (SELECT DISTINCT entity_id, l.prop, cell_type, trim(regexp_replace(regexp_replace({value}, '[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{AD}]', '', 'g'),
+                 '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t
+             FROM live l JOIN kinds k ON l.prop = k.prop WHERE value IS NOT NULL AND entity_id IS NOT NULL),
+    day AS (SELECT entity_id, prop, lower(regexp_replace(t, '^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2})[Tt ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?([Zz]|[+-]\d{2}:?\d{2})?$', '\1')) AS d FROM said WHERE cell_type = 'date'),
+    word AS (SELECT *, replace(trim(regexp_replace(regexp_replace(d, '(\d)(st|nd|rd|th)', '\1'), '[-., ]+', ' ', 'g')), 'sept ', 'sep ') AS w FROM day),
+    date_cells AS (SELECT entity_id, prop, strftime(CASE
+        WHEN regexp_full_match(d, '\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}') THEN try_strptime(translate(d, '/.', '--'), '%Y-%m-%d')
+        WHEN regexp_full_match(d, '\d{8}') THEN try_strptime(d, '%Y%m%d')
+        WHEN regexp_full_match(d, '\d{1,2}\. ?\d{1,2}\. ?\d{4}') THEN try_strptime(replace(d, ' ', ''), '%d.%m.%Y')
+        WHEN regexp_full_match(d, '\d{1,2}(st|nd|rd|th|\.)?[ -][a-z]+\.?,?[ -]\d{4}') THEN try_strptime(w, ['%d %B %Y', '%d %b %Y'])
+        WHEN regexp_full_match(d, '[a-z]+\.? \d{1,2}(st|nd|rd|th)?,? \d{4}') THEN try_strptime(w, ['%B %d %Y', '%b %d %Y']) END, '%Y-%m-%d') AS cell FROM word),
+    money AS (SELECT entity_id, prop, cell_type, translate(CASE WHEN cell_type = 'decimal' THEN trim(regexp_replace(regexp_replace(t, '(?i)^(EUR|USD|GBP|CHF|€|\$|£) ?', ''), '(?i)(\d) ?(EUR|USD|GBP|CHF|€|\$|£)$', '\1')) ELSE t END, '’−', '''-') AS m
+              FROM said WHERE cell_type <> 'date'),
+    digits AS (SELECT entity_id, prop, cell_type, CASE WHEN m[1] = '-' THEN '-' ELSE '' END AS sign, regexp_replace(m, '^[+-] ?', '') AS b FROM money),
+    numbers AS (SELECT entity_id, prop, cell_type, sign || replace(regexp_replace(regexp_replace(b, '[.,](\d{1,2})$', '#\1'), '[ ,.'']', '', 'g'), '#', '.') AS n FROM digits
+                WHERE regexp_full_match(b, '\d+([.,]\d{1,2})?|[1-9]\d{0,2}(,\d{3})+(\.\d{1,2})?|[1-9]\d{0,2}(\.\d{3})+(,\d{1,2})?|[1-9]\d{0,2}( \d{3})+([.,]\d{1,2})?|[1-9]\d{0,2}(''\d{3})+([.,]\d{1,2})?')),
+    found AS (SELECT entity_id, prop, cell FROM date_cells
+              UNION ALL SELECT entity_id, prop, try_cast(n AS DECIMAL(38, 2))::VARCHAR FROM numbers WHERE cell_type = 'decimal'
+              UNION ALL SELECT entity_id, prop, try_cast(regexp_replace(n, '\.0+$', '') AS DECIMAL(38, 0))::VARCHAR FROM numbers WHERE cell_type = 'integer' AND NOT regexp_matches(n, '\.\d*[1-9]'))
+    """.replace("{value}", _WIDTHS)
 _STATES = """
     SELECT key_value, count(*) AS n, epoch_us(min(t)) AS first_us, epoch_us(max(t)) AS last_us, coalesce(max(gap), 0) AS max_gap_us
     FROM (SELECT {key} AS key_value, last_seen AS t, epoch_us(last_seen) - epoch_us(lag(last_seen) OVER (PARTITION BY {key} ORDER BY last_seen)) AS gap FROM statements)
@@ -172,6 +196,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'shard', shard FROM statements GROUP BY 2 HAVING count(*) > 0.10 * (SELECT count(*) FROM statements)""",
         "p2_entity_states": _STATES.format(key="entity_id"),
         "p2_shard_states": _STATES.format(key="shard"),
+        "p3_found": f"WITH {_LIVE}, {_CELLS} SELECT entity_id, prop, min(cell) AS cell FROM found WHERE cell IS NOT NULL GROUP BY ALL",
         "p3_many_values": f"WITH {_LIVE} SELECT DISTINCT entity_id, prop, value FROM live WHERE prop IN (SELECT prop FROM schema_props WHERE many) AND value IS NOT NULL",
         "p4_found": f"""
             WITH RECURSIVE {_TREE}, {_LOOPS},
@@ -180,13 +205,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, root_id, depth FROM walk UNION ALL SELECT id, loop_id, -1 FROM loops
             UNION ALL SELECT fk.id, coalesce(p.root_id, fk.id), coalesce(p.depth + 1, 0) FROM fk LEFT JOIN place p ON len(steps) > 1 AND array_to_string(steps[:-2], '/') = p.full_path""",
         "p4_paths": f"""
-            WITH RECURSIVE {_TREE}, {_LOOPS} SELECT id, root_id, depth, full_path FROM walk UNION ALL SELECT id, loop_id, -1, NULL FROM loops""",
-        "p4_descendants": f"""
-            WITH RECURSIVE {_TREE} SELECT u AS id, id AS descendant, depth - list_position(ids, u) + 1 AS distance FROM (SELECT id, depth, ids, unnest(ids[:-2]) AS u FROM walk)""",
-        "p4_node_paths": f"""
             WITH RECURSIVE {_TREE}, {_LOOPS}, {_NODES} SELECT id, root_id, depth, full_path FROM nodes UNION ALL SELECT id, loop_id, -1, NULL FROM loops""",
-        "p4_node_descendants": f"""
+        "p4_descendants": f"""
             WITH RECURSIVE {_TREE}, {_NODES} SELECT u AS id, id AS descendant, depth - list_position(ids, u) + 1 AS distance FROM (SELECT id, depth, ids, unnest(ids[:-2]) AS u FROM nodes)""",
+        "p4_counts": f"WITH RECURSIVE {_TREE}, {_NODES} SELECT u AS id, count(*) AS descendants FROM (SELECT unnest(ids[:-2]) AS u FROM nodes) GROUP BY 1",
         "p4_loops": f"WITH RECURSIVE {_TREE}, {_LOOPS} SELECT id, loop_id FROM loops",
         "p5_found": f"WITH {_FILES} SELECT file_no FROM small WHERE k > 1",
         "p5_compacted": f"WITH {_FILES} SELECT s.file_no, count(t.row_no) AS rows FROM small s LEFT JOIN statements t ON s.file_no = t.file_no WHERE k > 1 GROUP BY 1",

@@ -17,7 +17,7 @@ from statelake.functions import ids
 from statelake.functions import values as rules
 from statelake.operators import assemble as asm
 from statelake.operators import documents as docs
-from statelake.operators import feeds, hierarchy, stats
+from statelake.operators import checksums, feeds, hierarchy, smallfiles, stats
 from statelake.operators import merge as mrg
 from statelake.plans.query import C, Compiler, G, M, P, Query, parse_flat, parse_rql
 from statelake.registry import Registry
@@ -53,6 +53,11 @@ class Tables:
     def merged(self) -> DataFrame:
         return mrg.merge(self.raw)
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The merged rows as a table, for what reads them more than once."""
+        return Scratch(self.spark, "merged").stage(self.merged, "rows")
+
     @cached_property
     def live(self) -> DataFrame:
         return live_view(self.merged)
@@ -145,16 +150,23 @@ def partition_listing(t):
     return t.raw.select("shard", "bucket", "origin").distinct().orderBy("shard", "bucket", "origin")
 
 
-@query("SELECT shard, bucket, origin, sum(size_bytes)::BIGINT AS bytes, count(DISTINCT file_no) AS files FROM statement_files WHERE action = 'add' GROUP BY ALL")
+@query("""WITH last AS (SELECT *, max(table_version) OVER (PARTITION BY file_no) AS v FROM statement_files WHERE file_no IS NOT NULL),
+    live AS (SELECT file_no, max(shard) AS shard, max(bucket) AS bucket, max(origin) AS origin, max(size_bytes) AS size FROM last WHERE table_version = v GROUP BY 1 HAVING bool_and(action = 'add'))
+    SELECT shard, bucket, origin, sum(size)::BIGINT AS bytes, count(*) AS files FROM live GROUP BY ALL""")
 def partition_sizes(t):
-    return t.statement_files.where("action = 'add'").groupBy("shard", "bucket", "origin").agg(F.sum("size_bytes").alias("bytes"), F.countDistinct("file_no").alias("files"))
+    return smallfiles.live_files(t.statement_files).groupBy("shard", "bucket", "origin").agg(F.sum("size_bytes").alias("bytes"), F.count(F.lit(1)).alias("files"))
 
 
 # ---- identity
 
 
-@query("""SELECT row_no, sha1(concat_ws('.', dataset, entity_id, prop, value, CASE WHEN external THEN 'ext' END, '@' || lang)) AS made
-          FROM statements WHERE value IS NOT NULL AND entity_id IS NOT NULL AND prop IS NOT NULL""")
+def made_id(dataset: str, entity: str, prop: str, value: str, external: str = "false", lang: str = "NULL") -> str:
+    """The statement id in DuckDB."""
+    sized = ", ".join(f"length({c}), {c}" for c in (dataset, entity, prop))
+    return f"sha1(concat_ws('|', {sized}, CASE WHEN {external} THEN 1 ELSE 0 END, coalesce(length({lang}), -1), coalesce({lang}, ''), {value}))"
+
+
+@query(f"SELECT row_no, {made_id('dataset', 'entity_id', 'prop', 'value', 'external', 'lang')} AS made FROM statements WHERE value IS NOT NULL AND entity_id IS NOT NULL AND prop IS NOT NULL")
 def statement_id(t):
     made = ids.statement_id(*[F.col(c) for c in ("dataset", "entity_id", "prop", "value", "external", "lang")])
     return t.statements.select("row_no", made.alias("made")).where("made is not null")
@@ -162,8 +174,7 @@ def statement_id(t):
 
 @query("SELECT entity_id, sha1(min(schema) || string_agg(DISTINCT id, '' ORDER BY id)) AS checksum FROM statements WHERE deleted_at IS NULL GROUP BY 1")
 def base_checksum(t):
-    live = t.raw.where("deleted_at is null").groupBy("entity_id").agg(F.min("schema").alias("schema"), F.collect_set("id").alias("ids"))
-    return live.select("entity_id", ids.base_checksum(F.col("schema"), F.col("ids")).alias("checksum"))
+    return checksums.entity_checksums(t.raw.where("deleted_at is null"))
 
 
 @query("SELECT row_no, id || chr(9) || origin || chr(9) || coalesce(fragment, '') AS k FROM statements")
@@ -193,12 +204,15 @@ def strip_namespace(t):
     return t.statements.select("row_no", ids.strip_namespace(F.col("entity_id")).alias("bare"))
 
 
-@query("""SELECT row_no, CASE lower(trim(regexp_replace(mimetype, ';.*$', ''))) WHEN 'application/pdf' THEN 'Pages' WHEN 'text/html' THEN 'HyperText' WHEN 'text/plain' THEN 'PlainText'
-          WHEN 'text/csv' THEN 'Table' WHEN 'message/rfc822' THEN 'Email' WHEN 'image/jpeg' THEN 'Image' WHEN 'image/png' THEN 'Image' WHEN 'image/gif' THEN 'Image' WHEN 'image/tiff' THEN 'Image'
-          WHEN 'application/msword' THEN 'Pages' WHEN 'application/vnd.ms-excel' THEN 'Table' WHEN 'application/vnd.ms-outlook' THEN 'Email'
-          WHEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' THEN 'Pages'
-          WHEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' THEN 'Table' ELSE 'Document' END AS schema,
-          CASE WHEN lower(trim(mimetype)) IN ('', 'application/octet-stream') THEN 'application/octet-stream' ELSE coalesce(lower(trim(regexp_replace(mimetype, ';.*$', ''))), 'application/octet-stream') END AS mime FROM files""")
+_MIME = "lower(trim(regexp_replace(mimetype, ';.*$', '')))"
+
+
+@query(f"""SELECT row_no, CASE WHEN m IN ('application/pdf', 'application/msword', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document') THEN 'Pages'
+    WHEN m IN ('text/html', 'text/xml', 'application/xml') THEN 'HyperText' WHEN m IN ('text/plain', 'text/rtf', 'application/rtf') THEN 'PlainText'
+    WHEN m IN ('text/csv', 'application/vnd.ms-excel', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet') THEN 'Table'
+    WHEN m IN ('message/rfc822', 'application/vnd.ms-outlook', 'application/oebps-package+xml') THEN 'Email'
+    WHEN m IN ('image/jpeg', 'image/png', 'image/gif', 'image/tiff', 'image/vnd.djvu', 'image/vnd.adobe.photoshop') THEN 'Image' ELSE 'Document' END AS schema,
+    coalesce(nullif(m, ''), 'application/octet-stream') AS mime FROM (SELECT row_no, {_MIME} AS m FROM files)""")
 def mime_rules(t):
     return t.files.select("row_no", rules.mime_schema(F.col("mimetype")).alias("schema"), rules.pick_mime(F.array("mimetype")).alias("mime"))
 
@@ -220,12 +234,12 @@ def origin_guard(t):
 _COMPANIES = """
     p AS (SELECT 'cust-' || c_custkey AS entity_id, c_name AS name, n_name AS jurisdiction FROM customer JOIN nation ON c_nationkey = n_nationkey),
     s AS (SELECT entity_id, 'name' AS prop, 'name' AS prop_type, name AS value FROM p UNION ALL SELECT entity_id, 'jurisdiction', 'country', jurisdiction FROM p),
-    i AS (SELECT *, sha1(concat_ws('.', 'sales', entity_id, prop, value)) AS id FROM s)"""
+    i AS (SELECT *, {id} AS id FROM s)""".replace("{id}", made_id("'sales'", "entity_id", "prop", "value"))
 
 
 @query(f"""WITH {_COMPANIES}, k AS (SELECT entity_id, sha1('Company' || string_agg(id, '' ORDER BY id)) AS value FROM i GROUP BY 1)
-    SELECT entity_id, prop, prop_type, value, id, 'thing' AS bucket, 'sales' AS origin FROM i
-    UNION ALL SELECT entity_id, 'id', 'checksum', value, sha1(concat_ws('.', 'sales', entity_id, 'id', value)), 'thing', 'sales' FROM k""")
+    SELECT *, 'thing' AS bucket, 'sales' AS origin, TIMESTAMP '2024-01-01' AS first_seen, TIMESTAMP '2024-01-01' AS last_seen FROM
+    (SELECT entity_id, prop, prop_type, value, id FROM i UNION ALL SELECT entity_id, 'id', 'checksum', value, {made_id("'sales'", "entity_id", "'id'", "value")} FROM k)""")
 def explode_entities(t):
     rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     payload = rows.select(
@@ -234,11 +248,14 @@ def explode_entities(t):
         F.create_map(F.lit("name"), F.array("c_name", F.lit(""), "c_name"), F.lit("jurisdiction"), F.array("n_name"), F.lit("bogus"), F.array("c_name")).alias("properties"),
     )
     made = asm.explode(payload, t.registry, "sales", 16, "2024-01-01", "sales")
-    return made.select("entity_id", "prop", "prop_type", "value", "id", "bucket", "origin")
+    dates = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")]
+    return made.select("entity_id", "prop", "prop_type", "value", "id", "bucket", "origin", *dates)
+
 
+_LANG = """CASE WHEN CASE WHEN prop = 'id' THEN 'checksum' ELSE coalesce(known, prop_type) END IN ('date', 'number', 'country', 'entity', 'checksum', 'mimetype', 'identifier', 'language', 'url') THEN NULL ELSE lang END"""
 
-@query("""SELECT row_no, coalesce(origin, 'x') AS origin, sha1(concat_ws('.', 'copy', entity_id, prop, value, CASE WHEN external THEN 'ext' END,
-    CASE WHEN CASE WHEN prop = 'id' THEN 'checksum' ELSE coalesce(known, prop_type) END IN ('date', 'number', 'country', 'entity', 'checksum', 'mimetype', 'identifier', 'language', 'url') THEN NULL ELSE '@' || lang END)) AS id,
+
+@query(f"""SELECT row_no, coalesce(origin, 'x') AS origin, {made_id("'copy'", "entity_id", "prop", "value", "external", _LANG)} AS id,
     coalesce(first_seen, TIMESTAMP '2024-01-01') AS first_seen FROM (SELECT s.*, (SELECT max(p.prop_type) FROM schema_props p WHERE p.schema = s.schema AND p.prop = s.prop) AS known FROM statements s)
     WHERE entity_id IS NOT NULL AND prop IS NOT NULL AND value IS NOT NULL""")
 def csv_row_map(t):
@@ -255,7 +272,7 @@ def batch_dedupe_last_wins(t):
 
 @query("SELECT row_no, coalesce(NULL, origin, 'fallback') AS origin FROM files")
 def origin_resolution(t):
-    return t.files.select("row_no", F.coalesce(F.lit(None).cast("string"), "origin", F.lit("fallback")).alias("origin"))
+    return t.files.select("row_no", rules.resolve_origin(None, F.col("origin"), "fallback").alias("origin"))
 
 
 # ---- merge
@@ -379,9 +396,20 @@ def q_text_comparators(t):
 _SORTED = "SELECT entity_id, min(value) FILTER (WHERE prop = 'name') AS k FROM live GROUP BY 1 HAVING bool_or(schema = 'Person') ORDER BY k ASC NULLS LAST, entity_id"
 
 
-@query(f"WITH {MERGED}, s AS ({_SORTED} LIMIT 25) SELECT id, entity_id, prop, value, origin, fragment FROM live WHERE entity_id IN (SELECT entity_id FROM s)")
+@query(f"""WITH {MERGED}, s AS ({_SORTED} LIMIT 25)
+    SELECT id, live.entity_id, prop, value, origin, fragment, row_number() OVER (ORDER BY k ASC NULLS LAST, live.entity_id, id, origin, fragment) - 1 AS place FROM live JOIN s ON live.entity_id = s.entity_id""")
 def q_sort(t):
-    return found(t, Query(M(schema="Person")).order_by("name")[:25])
+    """``place`` is where the row came out, so the order itself is compared."""
+    return found(t, Query(M(schema="Person")).order_by("name")[:25]).coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+@query(f"""WITH {MERGED}, s AS (SELECT entity_id AS id, min(value) FILTER (WHERE prop = 'name') AS name FROM live GROUP BY 1 HAVING bool_or(schema = 'Company') ORDER BY name DESC NULLS LAST, id LIMIT 40 OFFSET 5)
+    SELECT id, name, row_number() OVER (ORDER BY name DESC NULLS LAST, id) - 1 AS place FROM s""")
+def q_sorted_entities(t):
+    """Assembled entities come out in the order of the query."""
+    q = Query(M(schema="Company")).order_by("name", False)[5:45]
+    entities = t.compiler.in_order(asm.assemble(t.compiler.statements(t.live, q), t.registry), q)
+    return entities.select("id", F.array_min(F.col("properties")["name"]).alias("name")).coalesce(1).withColumn("place", F.monotonically_increasing_id())
 
 
 @query(f"WITH {MERGED}, s AS (SELECT DISTINCT entity_id FROM live ORDER BY entity_id LIMIT 20 OFFSET 10) SELECT id, entity_id, prop, value, origin, fragment FROM live WHERE entity_id IN (SELECT entity_id FROM s)")
@@ -420,13 +448,18 @@ def anti_deleted(t):
 _JOURNAL = "SELECT lower(trim(id)) AS id, origin, coalesce(fragment, '') AS fragment, value, last_seen, deleted_at FROM journal"
 
 
-@query(f"""WITH b AS (SELECT id, origin, fragment, 0 AS p, last_seen, deleted_at FROM statements UNION ALL SELECT id, origin, fragment, 1, last_seen, deleted_at FROM ({_JOURNAL}))
-    SELECT id, origin, fragment, max(p) AS buffered, arg_max(last_seen, (p, last_seen)) AS last_seen FROM b GROUP BY 1, 2, 3""")
+_REST = [c for c in NAMES if c not in ("id", "origin", "fragment", "last_seen", "deleted_at")]
+
+
+@query(f"""WITH j AS (SELECT * EXCLUDE (message_no, segment_no, received_at) REPLACE (lower(trim(id)) AS id, coalesce(fragment, '') AS fragment) FROM journal),
+    b AS (SELECT {', '.join(NAMES)}, 0 AS p FROM statements UNION ALL SELECT {', '.join(NAMES)}, 1 FROM j)
+    SELECT id, origin, fragment, p AS buffered, value, last_seen, deleted_at FROM b QUALIFY row_number() OVER
+    (PARTITION BY id, origin, fragment ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in ('p', 'last_seen', 'deleted_at', *_REST))}) = 1""")
 def override_priority(t):
     buffered = conform(t.journal, naive=True).withColumn("id", F.lower(F.trim("id")))
     out = asm.override(t.raw, buffered)
     known = buffered.select("id", "origin", "fragment", F.lit(1).alias("buffered")).distinct()
-    return out.join(known, ["id", "origin", "fragment"], "left").select("id", "origin", "fragment", F.coalesce("buffered", F.lit(0)).alias("buffered"), "last_seen")
+    return out.join(known, ["id", "origin", "fragment"], "left").select("id", "origin", "fragment", F.coalesce("buffered", F.lit(0)).alias("buffered"), "value", "last_seen", "deleted_at")
 
 
 @query(f"WITH {MERGED} SELECT DISTINCT s.entity_id AS payment, s.prop, o.entity_id AS party FROM live s JOIN live o ON s.value = o.entity_id WHERE s.prop IN ('payer', 'beneficiary')")
@@ -565,45 +598,42 @@ def diff_changed_ids(t):
 @query(f"""WITH {MERGED}, {_CHANGED} SELECT CASE WHEN l.entity_id IS NULL THEN 'DEL' ELSE 'ADD' END AS op, c.entity_id AS id, count(DISTINCT l.prop) FILTER (WHERE l.prop <> 'id' AND l.value IS NOT NULL) AS props
     FROM changed c LEFT JOIN live l ON c.entity_id = l.entity_id GROUP BY l.entity_id, c.entity_id""")
 def diff_envelopes(t):
-    return feeds.diff(t.merged, SINCE, t.registry).select("op", "id", F.coalesce(F.size("entity.properties"), F.lit(0)).cast("long").alias("props")).withColumn("props", F.greatest("props", F.lit(0)))
+    return feeds.diff(t.kept, SINCE, t.registry).select("op", "id", F.coalesce(F.size("entity.properties"), F.lit(0)).cast("long").alias("props")).withColumn("props", F.greatest("props", F.lit(0)))
 
 
 @query()
 def diff_envelope_lines(t):
     """The change feed's JSON lines themselves: whole entities for ADD, ids for DEL. SQL cannot render the same JSON; a test holds them against brute force."""
-    return feeds.envelopes(feeds.diff(t.merged, SINCE, t.registry))
+    return feeds.envelopes(feeds.diff(t.kept, SINCE, t.registry))
+
+
+def _label_sql() -> str:
+    r = Registry()
+    return "CASE max(s.schema) " + " ".join(f"WHEN '{d}' THEN '{r.label(d)}'" for d in r.descendants("Document")) + " END"
 
 
 _DOCS = f"""{_ENTITY}, {_TREE},
-    d AS (SELECT s.entity_id AS id, min(value) FILTER (WHERE prop = 'contentHash') AS checksum, min(value) FILTER (WHERE prop = 'fileName') AS name,
+    d AS (SELECT s.entity_id AS id, min(value) FILTER (WHERE prop = 'contentHash') AS checksum, max(last_change) AS updated_at,
+          coalesce(min(value) FILTER (WHERE prop = 'fileName'), min(value) FILTER (WHERE prop = 'title'), min(value) FILTER (WHERE prop = 'name'), {_label_sql()}) AS name,
           coalesce(min(value) FILTER (WHERE prop = 'mimeType'), 'application/octet-stream') AS mimetype, coalesce(TRY_CAST(min(value) FILTER (WHERE prop = 'fileSize') AS BIGINT), 0) AS size
           FROM s JOIN v ON s.entity_id = v.entity_id WHERE s.schema IN ('Document', 'Pages', 'PlainText', 'HyperText', 'Table', 'Image', 'Email') GROUP BY 1),
     h AS (SELECT DISTINCT v.entity_id, w.path FROM v JOIN walk w ON v.value = w.id WHERE v.prop = 'parent')"""
 
 
-@query(f"WITH RECURSIVE {_DOCS} SELECT d.id, checksum, mimetype, h.path FROM d LEFT JOIN h ON d.id = h.entity_id WHERE checksum IS NOT NULL")
+@query(f"""WITH RECURSIVE {_DOCS} SELECT d.id, checksum, name, mimetype, h.path, size, updated_at, 'https://data.example.org/quay_registry/' || checksum AS public_url
+    FROM d LEFT JOIN h ON d.id = h.entity_id WHERE checksum IS NOT NULL""")
 def documents_csv(t):
     paths = hierarchy.resolve(hierarchy.newest_nodes(t.folders)).where("depth >= 0").select("id", hierarchy.path_text().alias("path"))
-    return docs.listing(asm.assemble(t.live, t.registry), paths, t.registry.descendants("Document"), "quay_registry").select("id", "checksum", "mimetype", "path")
+    return docs.listing(asm.assemble(t.live, t.registry), paths, t.registry.descendants("Document"), "quay_registry", "https://data.example.org/${dataset}")
 
 
 @query(f"""WITH {MERGED}, {_CHANGED}, doc AS (SELECT DISTINCT entity_id FROM merged WHERE schema IN ('Document', 'Pages', 'PlainText', 'HyperText', 'Table', 'Image', 'Email'))
     SELECT CASE WHEN c.entity_id IN (SELECT entity_id FROM live) THEN 'ADD' ELSE 'DEL' END AS op, c.entity_id AS id FROM changed c JOIN doc ON c.entity_id = doc.entity_id""")
 def documents_diff(t):
-    wanted = t.merged.where(F.col("schema").isin([s for s in t.registry.descendants("Document") if s != "Folder"]))
+    wanted = t.kept.where(F.col("schema").isin([s for s in t.registry.descendants("Document") if s != "Folder"]))
     return feeds.diff(wanted, SINCE, t.registry).select("op", "id")
 
 
-@query("""SELECT 'file-' || sha256(key || checksum) AS id, origin, checksum, coalesce(name, '') AS name, size::VARCHAR AS size,
-    'folder-' || sha256(string_split(key, '/')[1]) AS top FROM files WHERE NOT starts_with(key, '/') AND NOT starts_with(key, './') AND NOT contains(key, '//') AND contains(key, '/')""")
-def file_entities(t):
-    """Payloads of plainly spelt keys with the outermost folder, as far as the SQL goes; :func:`file_entities_full` has all files and whole chains."""
-    plain = t.files.where("key not like '/%' and key not like './%' and key not like '%//%' and key like '%/%'")
-    made = docs.file_entities(plain.withColumn("origin", F.concat_ws("\t", F.coalesce("origin", F.lit("\n")), ids.folder_chain(F.regexp_replace("key", "/?[^/]*$", ""))[0])))
-    part = F.split("origin", "\t")
-    return made.select("id", F.nullif(part[0], F.lit("\n")).alias("origin"), F.col("properties")["contentHash"][0].alias("checksum"), F.col("properties")["fileName"][0].alias("name"), F.col("properties")["fileSize"][0].alias("size"), part[1].alias("top"))
-
-
 _MIMES = ", ".join(f"'{k}': '{v}'" for k, v in rules.MIME_SCHEMATA.items())
 _CHAINS = """named AS (SELECT *, list_filter(string_split(replace(coalesce(key, ''), '\\', '/'), '/'), lambda s: s NOT IN ('', '.')) AS names FROM files),
     chained AS (SELECT *, list_transform(range(1, len(names)), lambda i: list_reduce(list_prepend('', names[:i]), lambda a, n: 'folder-' || sha256(a || n))) AS chain,
@@ -613,7 +643,7 @@ _FILE_PROPS = ("contentHash", "fileName", "fileSize", "mimeType", "parent", "tit
 
 @query(f"""WITH {_CHAINS} SELECT 'file-' || sha256(key || checksum) AS id, coalesce(MAP {{{_MIMES}}}[mime], 'Document') AS schema, origin, array_to_string(chain, ' ') AS chain,
     checksum AS "contentHash", coalesce(name, names[-1]) AS "fileName", size::VARCHAR AS "fileSize", mime AS "mimeType", chain[-1] AS parent, extra ->> '$.title' AS title, extra ->> '$.author' AS author FROM chained""")
-def file_entities_full(t):
+def file_entities(t):
     """Whole payloads of all files, however their keys are spelt, with the ids of all folders on the way, outermost first."""
     chain = F.array_join(ids.folder_ids(ids.folder_names(F.col("key"))), " ").alias("chain")
     return docs.file_entities(t.files, chain).select("id", "schema", "origin", "chain", *[F.col("properties")[p][0].alias(p) for p in _FILE_PROPS])
@@ -720,6 +750,67 @@ def sql_functions(t):
     return passthrough(t, "SELECT DISTINCT entity_id, entity_shard(entity_id, 16) AS shard FROM {statement}", "statement")
 
 
+# ---- the stored table and its exports
+
+
+def stored(t, parts: int = 1) -> StatementStore:
+    """The log as a table of the store, appended in ``parts``."""
+    store = StatementStore(t.spark, Scratch(t.spark, "stored").path("statements"), 16)
+    for n in range(parts):
+        store.append(conform(t.statements.where(F.col("batch_no") % parts == n) if parts > 1 else t.statements))
+    return store
+
+
+def naive(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else F.col(c) for c, kind in df.dtypes])
+
+
+@query(f"WITH {MERGED} SELECT {_CORE} FROM live")
+def store_merged(t):
+    """Two appends, a merge, a vacuum; then what the live view reads from the files."""
+    store = stored(t, 2)
+    store.merge()
+    store.vacuum()
+    return naive(store.live().select(*CORE))
+
+
+@query(f"SELECT {_CORE} FROM (SELECT * REPLACE (coalesce(fragment, '') AS fragment) FROM statements)")
+def store_compacted(t):
+    """Three appends whose files are joined by block copies: every row exactly as often as before."""
+    store = stored(t, 3)
+    store.compact()
+    return naive(store.raw().select(*CORE))
+
+
+@query(rows_of("bool_or(schema = 'Person') AND bool_or(prop = 'name' AND value >= 'M')"))
+def store_query(t):
+    """A query over the stored, merged table, which reads only the buckets of its schema."""
+    store = stored(t)
+    store.merge()
+    return t.compiler.statements(store.live(), Query(M(schema="Person"), P(name__gte="M"))).select("id", "entity_id", "prop", "value", "origin", "fragment")
+
+
+@query(f"""WITH {MERGED} SELECT id, entity_id, prop, coalesce(value, '') AS value, coalesce(original_value, '') AS original_value, coalesce(lang, '') AS lang, origin,
+    strftime(first_seen, '%Y-%m-%dT%H:%M:%S') AS first_seen, fragment FROM live""")
+def csv_roundtrip(t):
+    """Live statements exported as CSV parts in zstd and read back."""
+    path = Scratch(t.spark, "export").path("statements.csv")
+    fmt.write_csv(t.live, path, "zst")
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("value", "original_value", "lang", "fragment")]
+    return fmt.read_csv_text(t.spark, path).select("id", "entity_id", "prop", *texts[:3], "origin", "first_seen", texts[3])
+
+
+@query(f"""WITH {_ENTITY}, p AS (SELECT entity_id, string_agg(prop || '=' || value, '|' ORDER BY prop, value) AS properties FROM v GROUP BY 1)
+    SELECT s.entity_id AS id, s.schema, coalesce(properties, '') AS properties FROM s LEFT JOIN p ON s.entity_id = p.entity_id WHERE s.schema IS NOT NULL""")
+def entities_roundtrip(t):
+    """Entities exported as JSON lines in gzip and read back."""
+    path = Scratch(t.spark, "export").path("entities.json")
+    fmt.write_entities(asm.assemble(t.live, t.registry), path, "gz")
+    entries = F.array_sort(F.map_entries("properties"))
+    flat = F.flatten(F.transform(entries, lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit("="), v))))
+    return fmt.read_entities(t.spark, path).select("id", "schema", F.array_join(flat, "|").alias("properties"))
+
+
 # ---- journal and streams
 
 
@@ -736,7 +827,7 @@ def event_sessions(t):
     return jr.session_counts(stamped, "ts", "user_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("SELECT lower(trim(id)) AS id, entity_id, origin, coalesce(fragment, '') AS fragment, value FROM journal")
+@query("""SELECT lower(format('{:x}', cast('0x' || substr(sha1(entity_id), 1, 8) AS BIGINT) % 16)) AS shard, lower(trim(id)) AS id, entity_id, origin, coalesce(fragment, '') AS fragment, value, last_seen FROM journal""")
 def journal_drain(t):
     """Land the journal, drain it through the streaming sink, read the table back."""
     root = Scratch(t.spark, "drain").path("dataset")
@@ -744,7 +835,7 @@ def journal_drain(t):
     buffered = jr.Journal(t.spark, f"{root}/journal", store)
     buffered.add(conform(t.journal).withColumn("id", F.lower(F.trim("id"))))
     buffered.flush()
-    return store.raw().select("id", "entity_id", "origin", "fragment", "value")
+    return store.raw().select("shard", "id", "entity_id", "origin", "fragment", "value", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -118,10 +118,6 @@ class Registry:
             out = F.when(schema == name, choice).otherwise(out)
         return out
 
-    def ancestor_frame(self, spark: SparkSession) -> DataFrame:
-        """``schema, ancestor`` of every type, itself included."""
-        return spark.createDataFrame([(s, a) for s in self.parents for a in self.ancestors(s)], "schema string, ancestor string")
-
     def prop_frame(self, spark: SparkSession) -> DataFrame:
         """``schema, prop, prop_type`` with inherited properties."""
         rows = [(s, p, t) for s in self.parents for p, t in self.properties(s).items()]

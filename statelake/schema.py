@@ -19,7 +19,6 @@ CSV_COLUMNS = [
     "first_seen", "last_seen", "fragment",
 ]
 BASE_ID = "id"
-DEFAULT_ORIGIN = "default"
 
 NAMES = [name for name, _ in COLUMNS]
 STRUCT = T.StructType([T.StructField(n, T.StringType() if t == "string" else T.BooleanType() if t == "boolean" else T.TimestampType(), n not in REQUIRED) for n, t in COLUMNS])

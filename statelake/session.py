@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_ROOTS: set[str] = set()
 
 
 def build_session(app: str = "statelake", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -60,6 +61,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(_forget, spark, self.root)
+        _ROOTS.add(self.root)
         self._n = 0
 
     def path(self, name: str = "t") -> str:
@@ -108,6 +110,14 @@ def _forget(spark: SparkSession, root: str) -> None:
         pass
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete everything staged so far, in a session that goes on; results that read staged tables must have been taken. Returns the number of runs."""
+    count = len(_ROOTS)
+    while _ROOTS:
+        delete_path(spark, _ROOTS.pop())
+    return count
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -5,13 +5,17 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import json
+import mimetypes
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statelake.functions.values import safe_name, validate_checksum, validate_origin
+from statelake.session import Scratch
+from statelake.sources.blobs import Store
 from statelake.sources.paths import Folder
 
 META = (
@@ -52,6 +56,20 @@ class Archive:
     def exists(self, checksum: str) -> bool:
         return self.folder.exists(f"{key_folder(checksum)}/blob")
 
+    def open(self, checksum: str):
+        """A stream over a blob."""
+        return Store(self.root).open(f"{key_folder(checksum)}/blob")
+
+    def stream(self, checksum: str, chunk: int = 1 << 20) -> Iterator[bytes]:
+        with self.open(checksum) as stream:
+            while part := stream.read(chunk):
+                yield part
+
+    def local_path(self, checksum: str) -> str | None:
+        """The blob's path on this machine; ``None`` if it lies elsewhere."""
+        store = Store(self.root)
+        return store.path(f"{key_folder(checksum)}/blob") if store.fs.type_name == "local" else None
+
     def text(self, checksum: str, origin: str | None = None) -> str | None:
         """Extracted text of one origin, or of the first that has one."""
         folder = key_folder(checksum) + "/txt"
@@ -73,13 +91,12 @@ class Archive:
         return self._record(path, checksum, len(content), origin, mimetype, extra)
 
     def _record(self, path: str, checksum: str, size: int, origin: str, mimetype: str | None, extra: dict) -> dict:
-        now = datetime.now(timezone.utc).isoformat()
-        file_id = "file-" + hashlib.sha256((path + checksum).encode()).hexdigest()
-        target = f"{key_folder(checksum)}/{file_id}.json"
-        created = json.loads(self.folder.read(target))["created_at"] if self.folder.exists(target) else now
-        record = {"id": file_id, "dataset": self.dataset, "checksum": checksum, "key": path, "name": path.rsplit("/", 1)[-1], "store": self.root, "size": size, "mimetype": mimetype, "origin": origin, "extra": extra, "created_at": created, "updated_at": now}
-        self.folder.write(target, json.dumps(record))
-        return record
+        made = record(self.root, self.dataset, path, checksum, size, origin, mimetype, extra)
+        target = f"{key_folder(checksum)}/{made['id']}.json"
+        if self.folder.exists(target):
+            made["created_at"] = json.loads(self.folder.read(target))["created_at"]
+        self.folder.write(target, json.dumps(made))
+        return made
 
     def _put(self, name: str, content: bytes) -> None:
         target = self.folder._path(name)
@@ -103,17 +120,21 @@ class Archive:
         if not self.records(record["checksum"]):
             self.folder.delete(folder)
 
-    # ---- crawling and downloading
+    # ---- crawling and downloading: tasks move the bytes, the driver sees none of them
 
-    def crawl(self, source: str, origin: str = "crawl", prefix: str = "", exclude_prefix: str | None = None, glob: str | None = None, exclude_glob: str | None = None, policy: str = "skip-path") -> list[dict]:
-        """Take up the files below ``source``. What is known already is left out by anti joins on path or checksum.
+    def crawl(self, source: str, origin: str = "crawl", prefix: str = "", exclude_prefix: str | None = None, glob: str | None = None, exclude_glob: str | None = None, policy: str = "skip-path") -> DataFrame:
+        """Take up the files below ``source``; returns the records made.
 
-        Contents stay on the executors until one is to be stored; they arrive at the driver one by one.
+        Paths and sizes are listed first; what is excluded, and under ``skip-path`` what is known, is left out before any
+        content is read. The rest is read, hashed and stored where it is read; under ``skip-checksum`` known contents are
+        left out in between. A repeated task stores the same blobs and records again.
         """
         if policy not in POLICIES:
             raise ValueError(f"policy must be one of {POLICIES}")
+        validate_origin(origin)
+        here = Folder(self.spark, source)
+        base = here._fs.getFileStatus(here._path("")).getPath().toString().rstrip("/") + "/"
         found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
-        base = Folder(self.spark, source)._fs.getFileStatus(Folder(self.spark, source)._path("")).getPath().toString().rstrip("/") + "/"
         keyed = found.select(F.expr(f"substring(path, {len(base) + 1})").alias("key"), "content").where(F.col("key").startswith(prefix))
         if exclude_prefix:
             keyed = keyed.where(~F.col("key").startswith(exclude_prefix))
@@ -121,24 +142,84 @@ class Archive:
             keyed = keyed.where(F.col("key").rlike(_regex(glob)))
         if exclude_glob:
             keyed = keyed.where(~F.col("key").rlike(_regex(exclude_glob)))
-        keyed = keyed.withColumn("checksum", F.sha2("content", 256))
         if policy == "skip-path":
-            keyed = keyed.join(self.files().select("key").distinct(), "key", "left_anti")
-        elif policy == "skip-checksum":
-            keyed = keyed.join(self.files().select("checksum").distinct(), "checksum", "left_anti")
-        return [self.store(r["key"], bytes(r["content"]), origin) for r in keyed.select("key", "content").toLocalIterator()]
-
-    def download(self, target: str) -> Iterator[str]:
-        """Copy blobs to readable paths; what is there already is skipped."""
-        out = Folder(self.spark, target)
-        for row in self.files().select("key", "checksum").distinct().toLocalIterator():
-            if not out.exists(row["key"]):
-                source = self.folder._path(f"{key_folder(row['checksum'])}/blob")
-                goal = out._path(row["key"])
-                out._fs.mkdirs(goal.getParent())
-                conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-                self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(self.folder._fs, source, out._fs, goal, False, conf)
-                yield row["key"]
+            keyed = keyed.drop("content").join(self.files().select("key").distinct(), "key", "left_anti")
+        else:
+            keyed = keyed.drop("content")
+        paths = Scratch(self.spark, "crawl").stage(keyed, "paths")
+        root, dataset, origin_ = self.root, self.dataset, origin
+        known: DataFrame | None = None
+        if policy == "skip-checksum":
+            hashed = paths.mapInArrow(_hashed(source), "key string, checksum string")
+            known = Scratch(self.spark, "crawl").stage(hashed.join(self.files().select("checksum").distinct(), "checksum", "left_anti").select("key"), "paths")
+        made = (paths if known is None else known).select("key").mapInArrow(_stored(source, root, dataset, origin_), META.replace("extra map<string,string>, ", "").replace("timestamp", "string"))
+        return Scratch(self.spark, "crawl").stage(made, "records")
+
+    def download(self, target: str) -> DataFrame:
+        """Copy blobs to readable paths below ``target``; what is there already is skipped. Returns the keys copied.
+
+        Of several contents of one key the newest record counts.
+        """
+        newest = self.files().where("key is not null").groupBy("key").agg(F.max_by("checksum", F.struct("updated_at", "checksum")).alias("checksum"))
+        root = self.root
+
+        def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            source, goal = Store(root), Store(target)
+            for batch in batches:
+                for key, checksum in zip(*[c.to_pylist() for c in batch.columns]):
+                    if not goal.exists(key):
+                        goal.put(key, source.read(f"{key_folder(checksum)}/blob"))
+                        yield pa.RecordBatch.from_arrays([pa.array([key])], names=["key"])
+
+        return Scratch(self.spark, "download").stage(newest.select("key", "checksum").mapInArrow(copy, "key string"), "copied")
+
+
+def _hashed(source: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Store(source)
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([_digest(store, k) for k in keys], pa.string())], names=["key", "checksum"])
+
+    return run
+
+
+def _digest(store: Store, key: str) -> str:
+    """The hash of a file, read chunk by chunk."""
+    state = hashlib.sha256()
+    with store.open(key) as stream:
+        while chunk := stream.read(1 << 20):
+            state.update(chunk)
+    return state.hexdigest()
+
+
+def _stored(source: str, root: str, dataset: str, origin: str):
+    names = ["id", "dataset", "checksum", "key", "name", "store", "size", "mimetype", "origin", "created_at", "updated_at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, archive = Store(source), Store(root)
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                content = store.read(key)
+                checksum = hashlib.sha256(content).hexdigest()
+                if not archive.exists(f"{key_folder(checksum)}/blob"):
+                    archive.put(f"{key_folder(checksum)}/blob", content)
+                row = record(root, dataset, key, checksum, len(content), origin, mimetypes.guess_type(key)[0], {})
+                target = f"{key_folder(checksum)}/{row['id']}.json"
+                if archive.exists(target):
+                    row["created_at"] = json.loads(archive.read(target))["created_at"]
+                archive.put(target, json.dumps(row).encode())
+                columns = [pa.array([row[n]], pa.int64() if n == "size" else pa.string()) for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def record(root: str, dataset: str, path: str, checksum: str, size: int, origin: str, mimetype: str | None, extra: dict) -> dict:
+    """The metadata of one file: its id hashes path and content."""
+    now = datetime.now(timezone.utc).isoformat()
+    file_id = "file-" + hashlib.sha256((path + checksum).encode()).hexdigest()
+    return {"id": file_id, "dataset": dataset, "checksum": checksum, "key": path, "name": path.rsplit("/", 1)[-1], "store": root, "size": size, "mimetype": mimetype, "origin": origin, "extra": extra, "created_at": now, "updated_at": now}
 
 
 def _regex(glob: str) -> str:

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import gzip
-import io
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statelake.functions.ids import entity_shard, statement_id
+from statelake.functions.values import resolve_origin
 from statelake.registry import Registry
-from statelake.schema import CSV_COLUMNS, DEFAULT_ORIGIN, NAMES
+from statelake.schema import CSV_COLUMNS, NAMES
+from statelake.sources import compressed
 
 ENTITY_SCHEMA = "id string, schema string, properties map<string,array<string>>, caption string, referents array<string>, datasets array<string>, origin array<string>, fragment string, last_change string"
+DOCUMENT_COLUMNS = ["id", "checksum", "name", "mimetype", "path", "size", "updated_at", "public_url"]
 NON_LINGUISTIC = ["date", "number", "country", "entity", "checksum", "mimetype", "identifier", "language", "url"]
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """Statement CSV as text columns; absent optional columns are null, extra ones are dropped."""
+    """Statement CSV as text columns, plain, gzip or zstd; absent optional columns are null, extra ones are dropped.
+
+    A quoted field may hold line breaks, so a file is read by one task; exports have many.
+    """
+    if compressed.is_zst(spark, path):
+        return compressed.read_csv(spark, path, CSV_COLUMNS)
     found = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     have = set(found.columns)
     return found.select(*[(F.nullif(F.col(f"`{c}`"), F.lit("")) if c in have else F.lit(None).cast("string")).alias(c) for c in CSV_COLUMNS])
@@ -35,7 +42,7 @@ def statements_from_csv(rows: DataFrame, registry: Registry, dataset: str, shard
     first = F.coalesce(F.col("first_seen").try_cast("timestamp"), F.lit(now).cast("timestamp"))
     out = typed.select(
         entity_shard(F.col("entity_id"), shards).alias("shard"), "entity_id", F.lit(dataset).alias("dataset"), registry.bucket_column(F.col("schema")).alias("bucket"),
-        F.coalesce(F.lit(override_origin).cast("string"), F.col("origin"), F.lit(origin).cast("string"), F.lit(DEFAULT_ORIGIN)).alias("origin"),
+        resolve_origin(override_origin, F.col("origin"), origin).alias("origin"),
         F.lit(None).cast("string").alias("source"), "schema", "prop", kind.alias("prop_type"), "value", "original_value", lang.alias("lang"), external.alias("external"),
         first.alias("first_seen"), F.coalesce(F.col("last_seen").try_cast("timestamp"), first).alias("last_seen"), F.coalesce("fragment", F.lit("")).alias("fragment"),
         F.lit(None).cast("timestamp").alias("deleted_at"),
@@ -49,26 +56,27 @@ def csv_projection(live: DataFrame) -> DataFrame:
     return live.withColumn("canonical_id", F.col("entity_id")).select(*[iso(c) if c in ("first_seen", "last_seen") else F.col(c) for c in CSV_COLUMNS]).orderBy("entity_id", "id", "fragment")
 
 
-def write_csv(live: DataFrame, path: str, compression: str = "none") -> None:
-    """CSV parts in order of entity. Sorted by range, so that no single task holds all rows."""
-    csv_projection(live).write.mode("overwrite").option("header", True).option("escape", '"').option("compression", compression).csv(path)
+def write_csv(live: DataFrame, path: str, codec: str | None = None) -> None:
+    """CSV parts in order of entity, each with a heading. Sorted by range, so that no single task holds all rows."""
+    rows = csv_projection(live)
+    compressed.write_lines(rows.select(csv_line(rows.columns)), path, codec, ",".join(rows.columns))
 
 
-def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, plain or gzip; properties become a map of lists. ``origin`` and ``fragment`` may be text or a list."""
-    return spark.read.schema(ENTITY_SCHEMA.replace("origin array<string>", "origin string")).json(path)
+def csv_line(columns: list[str]) -> Column:
+    """A row as a line of CSV: fields with commas, quotes, blanks at an end or line breaks are quoted, quotes inside doubled; nulls are empty."""
+    return F.to_csv(F.struct(*columns), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("value")
 
 
-def write_entities(entities: DataFrame, path: str, compression: str = "none") -> None:
-    entities.write.mode("overwrite").option("compression", compression).json(path)
+def read_entities(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines, plain, gzip or zstd; properties become a map of lists. ``origin`` and ``fragment`` may be text or a list."""
+    schema = ENTITY_SCHEMA.replace("origin array<string>", "origin string")
+    if compressed.is_zst(spark, path):
+        return compressed.read_lines(spark, path).select(F.from_json("value", schema).alias("e")).select("e.*")
+    return spark.read.schema(schema).json(path)
 
 
-def lines_to_bytes(lines: DataFrame, codec: str | None = None) -> bytes:
-    """A small artifact (index, statistics, one diff) as bytes, streamed row by row and compressed alike for alike input."""
-    out = io.BytesIO()
-    for row in lines.toLocalIterator():
-        out.write((row[0] or "").encode() + b"\n")
-    return wrap(out.getvalue(), codec)
+def write_entities(entities: DataFrame, path: str, codec: str | None = None) -> None:
+    compressed.write_lines(entities.select(F.to_json(F.struct(*entities.columns)).alias("value")), path, codec)
 
 
 def wrap(data: bytes, codec: str | None) -> bytes:
@@ -108,8 +116,9 @@ def from_ipc(spark: SparkSession, data: bytes) -> DataFrame:
     return spark.createDataFrame(table)
 
 
-
-
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A document listing as it was exported."""
-    return spark.read.schema("id string, checksum string, name string, mimetype string, path string, size bigint, updated_at timestamp, public_url string").option("header", True).csv(path)
+    if compressed.is_zst(spark, path):
+        text = compressed.read_csv(spark, path, DOCUMENT_COLUMNS)
+        return text.select(*[F.col(c).cast({"size": "bigint", "updated_at": "timestamp"}.get(c, "string")).alias(c) for c in DOCUMENT_COLUMNS])
+    return spark.read.schema("id string, checksum string, name string, mimetype string, path string, size bigint, updated_at timestamp, public_url string").option("header", True).option("multiLine", True).option("escape", '"').csv(path)

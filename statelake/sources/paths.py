@@ -101,5 +101,12 @@ class Folder:
         self._fs.mkdirs(target.getParent())
         self._put(self._fs.create(target, True), text)
 
+    def replace_by(self, draft: str) -> None:
+        """Let the folder ``draft`` take this one's place."""
+        path = self._jvm.org.apache.hadoop.fs.Path(draft)
+        self._fs.delete(self._path(""), True)
+        if not self._fs.rename(path, self._path("")):
+            raise OSError(f"cannot move {draft} to {self.root}")
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

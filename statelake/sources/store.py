@@ -198,16 +198,16 @@ class StatementStore:
     def compact(self, small: int = SMALL_FILE, target: int = smallfiles.TARGET_BYTES, max_files: int = smallfiles.MAX_FILES) -> int:
         """Join the small files of each partition by copying their column blocks; rows stay as they are. Returns the number of files saved.
 
-        Files of appends and of merges are joined apart from each other, so that partitions stay as dirty as they were.
+        A file that was joined of several writers' counts as an append, so that partitions stay as dirty as they were.
         """
         if not self.exists():
             return 0
         with self.lock():
             base = self.version()
-            groups: dict[tuple, list[dict]] = {}
+            groups: dict[Key, list[dict]] = {}
             for f in self.files(base):
                 if f["size"] < small:
-                    groups.setdefault((*_key(f), f["by"]), []).append(f)
+                    groups.setdefault(_key(f), []).append(f)
             bins = [b for fs in groups.values() for b in _bins(fs, target, max_files) if len(b) > 1]
             if not bins:
                 return 0
@@ -221,9 +221,12 @@ class StatementStore:
                     number += 1
             planned = self.spark.createDataFrame(plan, "bin string, file_no bigint, num_rows bigint, path string")
             report = smallfiles.compact_files(planned, f"{self.root}/data", f"{self.root}/data/{batch}", min(len(bins), shuffle_partitions(self.spark)))
-            made = {}
+            made: dict[str, dict] = {}
             for row in report.select("file_no", "out_path", "out_bytes").collect():  # one row per small file, as the log itself has
-                made[row["out_path"]] = _entry(f"{batch}/{row['out_path']}", row["out_bytes"], old[row["file_no"]]["by"])
+                by = old[row["file_no"]]["by"]
+                known = made.setdefault(row["out_path"], _entry(f"{batch}/{row['out_path']}", row["out_bytes"], by))
+                if known["by"] != by:
+                    known["by"] = APPEND
             self._commit(base, list(made.values()), old, COMPACT)
         return len(old) - len(made)
 

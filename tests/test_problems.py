@@ -62,6 +62,26 @@ def test_bloom_filter_has_no_false_negatives():
     assert bloom.might_contain(others).mean() < 0.02
 
 
+def test_filters_grow_and_the_screen_names_both_copies():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    keys, others = rng.integers(-(2**63), 2**63 - 1, 30_000), rng.integers(-(2**63), 2**63 - 1, 5000)
+    grown = deliveries.GrowingFilter()
+    for part in np.array_split(keys, 7):
+        grown.add(part)
+    assert grown.might_contain(keys).all() and len(grown.parts) == 4 and grown.might_contain(others).mean() < 0.05
+    h = np.r_[keys[:100], keys[50:200], keys[190:300]]
+    tb = np.r_[np.full(100, 1), np.full(150, 2), np.full(110, 5)]
+    n = np.ones(360, dtype=np.int64)
+    n[355] = 3
+    batches = [pa.RecordBatch.from_arrays([pa.array(h[i : i + 33]), pa.array(tb[i : i + 33]), pa.array(n[i : i + 33])], names=["h", "tb", "n"]) for i in range(0, 360, 33)]
+    named = {(k, b) for out in deliveries._screen(iter(batches)) for k, b in zip(*[c.to_pylist() for c in out.columns])}
+    want = {(int(k), b) for part, buckets in ((keys[50:100], (1, 2)), (keys[190:200], (2, 5)), (h[355:356], (5,))) for k in part for b in buckets}
+    assert want <= named and len(named) < len(want) + 20
+
+
 # ---- heavy keys
 
 
@@ -120,15 +140,31 @@ def test_wide_rows(spark, block):
     assert widen.widen(log.limit(0), registry).count() == 0
 
 
-def test_pivots_and_joins_do_not_shuffle(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pivots_and_joins_neither_shuffle_nor_broadcast(spark):
+    """Under the session's own settings."""
     log = spark.createDataFrame([("1", "o", "", "e", "name", "B", at(0), None, 1)], LOG)
     registry = spark.createDataFrame(PROPS, "schema string, prop string, prop_type string, cell_type string, many boolean")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = widen.widen(log, registry, block=2)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    plan = plan_of(widen.widen(log, registry, block=2))
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Broadcast" not in plan
+
+
+def test_thousands_of_attributes(spark):
+    props = [("X", f"p{i:04d}", "string", ["string", "date", "decimal", "integer"][i % 4], i % 7 == 0) for i in range(2100)]
+    registry = spark.createDataFrame(props, "schema string, prop string, prop_type string, cell_type string, many boolean")
+    cell = {"string": "text", "date": "2.1.2020", "decimal": "1,50", "integer": "7"}
+    rows = [(f"{e}-{p}", "o", "", f"e{e}", p, cell[kind], at(0), None, 1) for e in range(6) for i, (_, p, _, kind, _) in enumerate(props) if i % 6 == e or e == 0]
+    wide = widen.widen(spark.createDataFrame(rows, LOG), registry)
+    assert len(wide.columns) == 1 + 2100 + 300
+    plan = plan_of(wide)
+    assert plan.count("SortMergeJoin") == 32 and "Exchange" not in plan and "Broadcast" not in plan
+    got = {r["entity_id"]: r.asDict() for r in wide.collect()}
+    assert len(got) == 6 and all(got["e0"][p] is not None for _, p, _, _, _ in props)
+    want = {"string": "text", "date": date(2020, 1, 2), "decimal": Decimal("1.50"), "integer": Decimal(7)}
+    assert all(got[f"e{e}"][p] == (want[kind] if i % 6 == e else None) for e in range(1, 6) for i, (_, p, _, kind, _) in enumerate(props))
 
 
 # ---- hierarchies
@@ -187,14 +223,25 @@ def test_files_are_nodes_of_the_tree(spark, tmp_path):
     keys = {"f1": "./root //a/f.txt", "f2": "root \\g.txt", "f3": "root/a/f.txt", "f4": "h.txt", "f5": None, "f6": "", "f7": "x/f.txt", "both": "root /f"}
     spark.createDataFrame(rows, FOLDERS).write.parquet(f"{tmp_path}/folders.parquet")
     spark.createDataFrame([(i, k, v, at(0)) for i, (k, v) in enumerate(keys.items())] * 2, FILES).write.parquet(f"{tmp_path}/files.parquet")
-    paths = {r["id"]: tuple(r)[1:] for r in problems.p4_node_paths(spark, str(tmp_path)).collect()}
+    paths = {r["id"]: tuple(r)[1:] for r in problems.p4_paths(spark, str(tmp_path)).collect()}
     folders = {"r": ("r", 0, "root "), "a": ("r", 1, "root /a"), "a2": ("r", 1, "root /a"), "both": ("r", 1, "root /both"), "x": ("x", -1, None), "y": ("x", -1, None)}
     alone = {"f3": ("f3", 0, "f.txt"), "f4": ("f4", 0, "h.txt"), "f5": ("f5", 0, ""), "f6": ("f6", 0, ""), "f7": ("f7", 0, "f.txt")}
     assert paths == folders | alone | {"f1": ("r", 2, "root /a/f.txt"), "f2": ("r", 1, "root /g.txt")}
-    below = sorted(map(tuple, problems.p4_node_descendants(spark, str(tmp_path)).collect()))
+    below = sorted(map(tuple, problems.p4_descendants(spark, str(tmp_path)).collect()))
     assert below == [("a", "f1", 1), ("r", "a", 1), ("r", "a2", 1), ("r", "both", 1), ("r", "f1", 2), ("r", "f2", 1)]
 
 
+def test_scratch_can_be_cleared(spark):
+    import os
+
+    from statelake.session import Scratch, clear_scratch, scratch_root
+
+    staged = Scratch(spark, "cleared").stage(spark.range(3), "t")
+    folder = staged._scratch_path.removeprefix("file://")
+    assert staged.count() == 3 and os.path.isdir(folder) and folder.startswith(scratch_root(spark).removeprefix("file://"))
+    assert clear_scratch(spark) > 0 and not os.path.isdir(folder) and clear_scratch(spark) == 0
+
+
 # ---- increments
 
 STATEMENTS = "row_no bigint, batch_no bigint, id string, origin string, fragment string, entity_id string, last_seen timestamp_ntz, deleted_at timestamp_ntz"

@@ -48,6 +48,12 @@ def test_statement_ids_differ_by_each_part(spark):
 
     assert len({make(), make(d="x"), make(e="x"), make(p="x"), make(v="x"), make(ext=True), make(lang="de")}) == 7
     assert make(v=None) is None
+    # parts never run into each other
+    assert make(v="c.ext") != make(v="c", ext=True) and make(v="c.@en") != make(v="c", lang="en") and make(v="c|1|0") != make(v="c", ext=True)
+    assert make(e="a.b", p="c") != make(e="a", p="b.c") and make(d="d|1", e="e") != make(d="d", e="1|e") and make(lang="") != make()
+    ids.register_sql_functions(spark)
+    assert spark.sql("SELECT statement_id('d', 'e', 'p', 'v', true, 'de') AS x").first()["x"] == make(ext=True, lang="de")
+    assert spark.sql("SELECT statement_id('d', 'e', 'p', 'v', false, NULL) AS x").first()["x"] == make()
 
 
 def test_names():
@@ -55,18 +61,20 @@ def test_names():
         with pytest.raises(ValueError):
             values.validate_origin(bad)
     assert values.validate_origin("upload-01 ä") == "upload-01 ä"
-    for bad in ("catalog", "default", "ü", "a b", "-x"):
+    for bad in ("catalog", "default", "ü", "a b", "-x", "a-b", "Quay"):
         with pytest.raises(ValueError):
             values.validate_dataset_name(bad)
     with pytest.raises(ValueError):
         values.validate_checksum("AB" * 32)
-    assert values.parse_byte_size("8GB") == 8 * 10**9 and values.parse_byte_size("512 MiB") == 512 << 20 and values.parse_byte_size(7) == 7
+    assert values.parse_byte_size("8GB") == 8 * 10**9 and values.parse_byte_size("512 MiB") == 512 << 20 and values.parse_byte_size("1.5k") == 1500 and values.parse_byte_size("2PB") == 2 * 10**15 and values.parse_byte_size("1 pib") == 1 << 50 and values.parse_byte_size(7) == 7
 
 
 def test_mime(spark):
     assert one(spark, values.pick_mime(F.array(F.lit("application/octet-stream"), F.lit("Text/HTML; charset=x")))) == "text/html"
     assert one(spark, values.pick_mime(F.array(F.lit(None).cast("string")))) == "application/octet-stream"
     assert one(spark, values.mime_schema(F.lit(None).cast("string"))) == "Document"
+    for mime, schema in {"text/xml": "HyperText", "Text/RTF; x": "PlainText", "image/vnd.djvu": "Image", "image/vnd.adobe.photoshop": "Image", "application/oebps-package+xml": "Email"}.items():
+        assert one(spark, values.mime_schema(F.lit(mime))) == schema
 
 
 def test_registry():
@@ -113,7 +121,7 @@ def test_every_file_has_its_chain_of_folders(spark, tmp_path):
     keys = {"top/sub /a.txt": ["top", "sub "], "/top/sub /b.txt": ["top", "sub "], "./top//sub /./c.txt": ["top", "sub "], "top\\sub \\d.txt": ["top", "sub "], "other/e.txt": ["other"], "f.txt": [], "./g.txt": []}
     rows = [(k, f"sum{i}", None if i % 2 else "named", i, None, "crawl", None) for i, k in enumerate(keys)]
     spark.createDataFrame(rows, "key string, checksum string, name string, size bigint, mimetype string, origin string, extra string").write.parquet(f"{tmp_path}/files.parquet")
-    got = {r["id"]: r for r in reference.queries()["file_entities_full"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: r for r in reference.queries()["file_entities"](spark, str(tmp_path)).collect()}
     assert len(got) == len(keys)
     for (key, names), row in zip(keys.items(), rows):
         r = got["file-" + hashlib.sha256((key + row[1]).encode()).hexdigest()]
