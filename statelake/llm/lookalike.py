@@ -19,14 +19,17 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts that are drawn like a Latin letter.
-CYRILLIC = dict(zip("аеорсухіјѕһԛԝАВЕКМНОРСТХІЈЅԚԜ", "aeopcyxijshqwABEKMHOPCTXIJSQW"))
-GREEK = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oABEZHIKMNOPTYX"))
-LOOKALIKE = CYRILLIC | GREEK
+CYRILLIC = dict(zip("аеорсухіјѕһԛԝԁӏАВЕКМНОРСТХІЈЅԚԜӀҮ", "aeopcyxijshqwdlABEKMHOPCTXIJSQWIY"))
+GREEK = dict(zip("ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ovcjABEZHIKMNOPTYXCJ"))
+ARMENIAN = dict(zip("օսհոցՕՍ", "ouhngOU"))
+LOOKALIKE = CYRILLIC | GREEK | ARMENIAN
 
 # Hyphens drawn like the hyphen-minus.
 HYPHENS = {"‐": "-", "‑": "-"}
@@ -97,11 +100,12 @@ def _run(columns: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        # texts come in small portions, so there is nothing to spill, and no folder to spill to
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                con.register("batch", pa.Table.from_batches([batch.slice(at, 1000)]).rename_columns(["k", "text"]))
-                result = con.execute(sql).to_arrow_table()
+            for part in _portions(batch):
+                con.register("batch", pa.Table.from_batches([part]).rename_columns(["k", "text"]))
+                result = con.sql(sql).to_arrow_table()
                 con.unregister("batch")
                 yield from result.to_batches()
         con.close()
@@ -109,6 +113,17 @@ def _run(columns: str):
     return run
 
 
+def _portions(batch: pa.RecordBatch, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` texts and about ``size`` bytes; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def canonical_form(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``<key>, form`` for every row."""
     kind = documents.schema[key].dataType.simpleString()
@@ -139,3 +154,12 @@ def same_look_pairs(digests: DataFrame, key: str = "doc_id") -> DataFrame:
     first = variants.join(rows.select(F.col("text_hash").alias("text_a"), F.col(key).alias("a")), "text_a")
     both = first.join(rows.select(F.col("text_hash").alias("text_b"), F.col(key).alias("b")), "text_b")
     return both.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b"))
+
+
+def same_look_classes(digests: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``<key>, class_id`` of every row that has a partner in :func:`same_look_pairs`: membership instead of pairs, linear in the rows.
+
+    A class is a form that several texts have; it is named by its smallest key.
+    """
+    groups = digests.groupBy("form_hash").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.min(key).alias("class_id")).where("lo <> hi")
+    return digests.join(groups.select("form_hash", "class_id"), "form_hash").select(key, "class_id")

@@ -110,10 +110,13 @@ def pack(items: DataFrame, capacity: int, item: str = "doc_id", length: str = "n
     slots = slot_table(plan_containers(histogram, capacity))
     rows = [(s.length, s.start, s.stop, s.first, s.per) for s in slots]
     planned = spark.createDataFrame(rows, "n_tokens bigint, start bigint, stop bigint, first bigint, per bigint")
+    # one row per length, at most `capacity`: an item meets one row and finds its range inside it
+    planned = planned.groupBy("n_tokens").agg(F.array_sort(F.collect_list(F.struct("start", "first", "per"))).alias("slots"))
     before = Window.partitionBy("n_tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = F.row_number().over(Window.partitionBy("n_tokens", "slice").orderBy("item", "piece_no")) - 1
     ranked = cut.withColumn("inside", inside).join(offsets, ["n_tokens", "slice"]).withColumn("rank", F.col("offset") + F.col("inside"))
-    placed = ranked.join(planned, (ranked["n_tokens"] == planned["n_tokens"]) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("stop"))).drop(planned["n_tokens"])
-    container = F.col("first") + F.floor((F.col("rank") - F.col("start")) / F.col("per"))
+    slot = F.try_element_at(F.filter("slots", lambda s: s["start"] <= F.col("rank")), F.lit(-1))
+    placed = ranked.join(planned, "n_tokens").withColumn("slot", slot)
+    container = F.col("slot.first") + F.floor((F.col("rank") - F.col("slot.start")) / F.col("slot.per"))
     return placed.select("item", "piece_no", "token_from", "n_tokens", container.cast("long").alias("container_no"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statelake.llm.lookalike import canonical_form, form_digests, form_sql, same_look_pairs
+from statelake.llm.lookalike import canonical_form, form_digests, form_sql, same_look_classes, same_look_pairs
 from statelake.llm.packing import pack
 from statelake.llm.tokenize import token_counts, token_ids, vocabulary
 from statelake.session import Scratch, table
@@ -41,12 +41,17 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(digests)
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership in the classes of texts that look the same, one row per document."""
+    return same_look_classes(Scratch(spark, "lookalike").stage(form_digests(table(spark, sf_dir, "documents")), "digests"))
+
+
 def p10_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_form(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p9_packed, p9_fill, p10_found, p10_form)}
+    return {f.__name__: f for f in (p8_ids, p9_packed, p9_fill, p10_found, p10_classes, p10_form)}
 
 
 def oracle_sql() -> dict[str, str]:

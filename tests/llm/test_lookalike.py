@@ -1,7 +1,7 @@
 import unicodedata
 from itertools import combinations
 
-from statelake.llm.lookalike import LOOKALIKE, canonical_form, form_digests, same_look_pairs
+from statelake.llm.lookalike import LOOKALIKE, canonical_form, form_digests, same_look_classes, same_look_pairs
 
 SAME = [
     ["Invoice 12", "Ｉｎｖｏｉｃｅ １２", "Inv​oice 12", "Іnvоісе 12", "Invoice 12", "﻿Invoice　12‎"],
@@ -13,6 +13,7 @@ SAME = [
     ["line\nbreak", "line\r\nbreak"],
     ["50 K", "50 K"],
     ["key; x", "key; x"],
+    ["dl ouhng vcj", "ԁӏ օսհոց νϲϳ"],
 ]
 DIFFERENT = ["rose", "Rose", "rosé", "ros e", "rose.", "rose;", "rose,", "r0se", "rose\nrose", "rose rose", "rose  rose", "rose-rose", "rose—rose", "ßose", "ж", "й", "и", "ё", "е́", "l1", "ll", "II"]
 
@@ -58,3 +59,19 @@ def test_pairs_and_edges(spark):
     seen = [(i, t) for i, t in enumerate(values) if t and brute_form(t).strip()]
     assert got == [(i, j) for (i, a), (j, b) in combinations(seen, 2) if a != b and brute_form(a) == brute_form(b)]
     assert same_look_pairs(form_digests(df.limit(0))).count() == 0
+    classes = {r["doc_id"]: r["class_id"] for r in same_look_classes(form_digests(df)).collect()}
+    assert set(classes) == {i for pair in got for i in pair} and all(classes[a] == classes[b] for a, b in got)
+    assert classes == {i: min(j for j in classes if brute_form(values[j]) == brute_form(values[i])) for i in classes}
+    assert same_look_classes(form_digests(df.limit(0))).count() == 0
+
+
+def test_portions_hold_every_text():
+    import pyarrow as pa
+
+    from statelake.llm.lookalike import _portions
+
+    texts = ["x" * n if n % 5 else None for n in range(300)] + ["", "y" * 50_000, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "text"])
+    parts = list(_portions(batch, 20, 1000))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert max(p.num_rows for p in parts) <= 20 and all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 1000 for p in parts)
