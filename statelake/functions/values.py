@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
+from functools import cache
 from string import Template
 
 from pyspark.sql import Column
@@ -103,10 +105,22 @@ def normal_mime(column: Column) -> Column:
     return F.nullif(F.lower(F.trim(F.regexp_replace(column, ";.*$", ""))), F.lit(""))
 
 
-def pick_mime(values: Column) -> Column:
-    """The first MIME type that says something, else the default."""
+def pick_mime(values: Column, default: Column | None = None) -> Column:
+    """The first MIME type that says something, else ``default``, else the general one."""
     known = F.filter(F.transform(values, normal_mime), lambda m: m.isNotNull() & (m != OCTET_STREAM))
-    return F.coalesce(F.try_element_at(known, F.lit(1)), F.lit(OCTET_STREAM))
+    found = F.try_element_at(known, F.lit(1))
+    return F.coalesce(found, F.lit(OCTET_STREAM)) if default is None else F.coalesce(found, default, F.lit(OCTET_STREAM))
+
+
+def guess_mime(name: Column) -> Column:
+    """The MIME type that a file name's ending stands for; null if it has none that is known. The table is Python's own."""
+    table = F.create_map(*[F.lit(x) for pair in mime_endings().items() for x in pair])
+    return table[F.nullif(F.regexp_extract(F.lower(name), r"(\.[a-z0-9]+)$", 1), F.lit(""))]
+
+
+@cache
+def mime_endings() -> dict[str, str]:
+    return dict(sorted(mimetypes.MimeTypes(filenames=()).types_map[True].items()))
 
 
 def mime_schema(mime: Column) -> Column:

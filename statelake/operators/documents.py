@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statelake.functions.ids import file_id, folder_ids, folder_names, path_names
-from statelake.functions.values import mime_schema, normal_mime, public_url
+from statelake.functions.values import guess_mime, mime_schema, normal_mime, pick_mime, public_url
 from statelake.operators.hierarchy import path_text, resolve
 
 CSV_COLUMNS = ["id", "checksum", "name", "mimetype", "path", "size", "updated_at", "public_url"]
@@ -38,11 +38,12 @@ def listing(entities: DataFrame, paths: DataFrame, schemata: list[str], dataset:
         "id",
         first("properties", "contentHash").alias("checksum"),
         F.coalesce(first("properties", "fileName"), F.col("caption")).alias("name"),
-        F.coalesce(first("properties", "mimeType"), F.lit("application/octet-stream")).alias("mimetype"),
-        F.coalesce(first("properties", "fileSize").try_cast("bigint"), F.lit(0).cast("bigint")).alias("size"),
+        F.coalesce(F.col("properties")["mimeType"], F.array().cast("array<string>")).alias("mimetypes"),
+        F.coalesce(first("properties", "fileSize").try_cast("decimal(38,0)").try_cast("bigint"), F.lit(0).cast("bigint")).alias("size"),
         F.col("last_change").alias("updated_at"),
         F.coalesce(F.col("properties")["parent"], F.array().cast("array<string>")).alias("parents"),
     )
+    flat = flat.withColumn("mimetype", pick_mime(F.col("mimetypes"), guess_mime(F.col("name"))))
     placed = place(flat, paths)
     return placed.withColumn("public_url", public_url(url, dataset, F.col("checksum"))).select(*CSV_COLUMNS)
 

@@ -5,9 +5,11 @@ partitioned by attribute block (``BLOCK`` attributes each, more if there would b
 over ``MAX_BLOCKS`` blocks). Every block is then pivoted from its own files,
 without a shuffle since the buckets are the groups, and the blocks are
 merge-joined to the list of entities bucket by bucket, again without a shuffle
-and without a broadcast: blocks grow with the entities. A table of thousands of
-attributes costs one shuffle of its cells, and generated code never sees more
-than one block's columns at once.
+and without a broadcast: blocks grow with the entities. A task joins at most
+``JOINED`` blocks; of more, the joins of ``JOINED`` each are written in the same
+bucketing and joined in turn. A table of thousands of attributes costs one
+shuffle of its cells, and generated code never sees more than one block's
+columns at once.
 
 Cells are reduced to one row per entity and attribute by aggregates with
 map-side combine *before* they are distributed by entity, so an entity that
@@ -34,6 +36,7 @@ from statelake.session import Scratch, shuffle_partitions
 
 BLOCK = 16
 MAX_BLOCKS = 32
+JOINED = 6  # tables that one task joins: each needs a sort buffer of its own
 TYPES = {"date": "date", "decimal": "decimal(38,2)", "integer": "decimal(38,0)", "string": "string"}
 
 
@@ -87,6 +90,12 @@ def many_values(records: DataFrame, props: list[tuple[str, str, bool]]) -> DataF
     return records.where(F.col("prop").isin(many) & F.col("entity_id").isNotNull() & F.col("value").isNotNull()).select("entity_id", "prop", "value").distinct()
 
 
+def _joined(entities: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    for table in tables:
+        entities = entities.join(table.hint("merge"), "entity_id", "left")
+    return entities
+
+
 def widen(statements: DataFrame, schema_props: DataFrame, block: int | None = None, buckets: int | None = None) -> DataFrame:
     """One row per entity with a live record: ``entity_id`` and a typed column per attribute."""
     spark = statements.sparkSession
@@ -103,7 +112,8 @@ def widen(statements: DataFrame, schema_props: DataFrame, block: int | None = No
     filled = cells(records, props).withColumn("block", block_of)
     everyone = records.select("entity_id").distinct().select("entity_id", F.lit("").alias("prop"), F.lit(None).cast("string").alias("cell"), F.lit(0).cast("long").alias("n"), F.lit(-1).alias("block"))
     stored = scratch.stage_bucketed(filled.unionByName(everyone), "entity_id", buckets, "block")
-    wide = stored.where("block = -1").select("entity_id")
+    entities = stored.where("block = -1").select("entity_id")
+    tables = []
     for i, b in enumerate(blocks):
         columns = []
         for prop, kind, many in b:
@@ -111,8 +121,11 @@ def widen(statements: DataFrame, schema_props: DataFrame, block: int | None = No
             columns.append(F.max(F.when(here, F.col("cell"))).cast(TYPES[kind]).alias(names[prop]))
             if many:
                 columns.append(F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0)).alias(f"{names[prop]}__n"))
-        pivot = stored.where(F.col("block") == i).groupBy("entity_id").agg(*columns)
-        wide = wide.join(pivot.hint("merge"), "entity_id", "left")
+        tables.append(stored.where(F.col("block") == i).groupBy("entity_id").agg(*columns))
+    while len(tables) > JOINED:
+        groups = [tables[i : i + JOINED] for i in range(0, len(tables), JOINED)]
+        tables = [scratch.keep_bucketed(_joined(entities, group), "entity_id", buckets) for group in groups]
+    wide = _joined(entities, tables)
     counts = [f"{names[p]}__n" for p, _, m in props if m]
     return wide.fillna(0, counts) if counts else wide
 

@@ -612,15 +612,17 @@ def _label_sql() -> str:
     return "CASE max(s.schema) " + " ".join(f"WHEN '{d}' THEN '{r.label(d)}'" for d in r.descendants("Document")) + " END"
 
 
+_NORMAL = "lower(trim(regexp_replace(value, ';.*$', '')))"
+_ENDINGS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in rules.mime_endings().items()) + "}"
 _DOCS = f"""{_ENTITY}, {_TREE},
     d AS (SELECT s.entity_id AS id, min(value) FILTER (WHERE prop = 'contentHash') AS checksum, max(last_change) AS updated_at,
           coalesce(min(value) FILTER (WHERE prop = 'fileName'), min(value) FILTER (WHERE prop = 'title'), min(value) FILTER (WHERE prop = 'name'), {_label_sql()}) AS name,
-          coalesce(min(value) FILTER (WHERE prop = 'mimeType'), 'application/octet-stream') AS mimetype, coalesce(TRY_CAST(min(value) FILTER (WHERE prop = 'fileSize') AS BIGINT), 0) AS size
+          arg_min({_NORMAL}, value) FILTER (WHERE prop = 'mimeType' AND {_NORMAL} NOT IN ('', 'application/octet-stream')) AS said, coalesce(TRY_CAST(min(value) FILTER (WHERE prop = 'fileSize') AS BIGINT), 0) AS size
           FROM s JOIN v ON s.entity_id = v.entity_id WHERE s.schema IN ('Document', 'Pages', 'PlainText', 'HyperText', 'Table', 'Image', 'Email') GROUP BY 1),
     h AS (SELECT DISTINCT v.entity_id, w.path FROM v JOIN walk w ON v.value = w.id WHERE v.prop = 'parent')"""
 
 
-@query(f"""WITH RECURSIVE {_DOCS} SELECT d.id, checksum, name, mimetype, h.path, size, updated_at, 'https://data.example.org/quay_registry/' || checksum AS public_url
+@query(f"""WITH RECURSIVE {_DOCS} SELECT d.id, checksum, name, coalesce(said, {_ENDINGS}[regexp_extract(lower(name), '(\\.[a-z0-9]+)$', 1)], 'application/octet-stream') AS mimetype, h.path, size, updated_at, 'https://data.example.org/quay_registry/' || checksum AS public_url
     FROM d LEFT JOIN h ON d.id = h.entity_id WHERE checksum IS NOT NULL""")
 def documents_csv(t):
     paths = hierarchy.resolve(hierarchy.newest_nodes(t.folders)).where("depth >= 0").select("id", hierarchy.path_text().alias("path"))

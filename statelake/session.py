@@ -88,6 +88,13 @@ class Scratch:
         atexit.register(_forget_table, self.spark, name)
         return self.spark.table(name)
 
+    def keep_bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Write ``df``, which lies in ``buckets`` by ``key`` already, as it lies."""
+        name = f"scratch_{uuid.uuid4().hex}"
+        df.write.option("path", self.path("bucketed")).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        atexit.register(_forget_table, self.spark, name)
+        return self.spark.table(name)
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete staged tables that no later step reads."""
         for df in frames:

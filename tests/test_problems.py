@@ -160,7 +160,7 @@ def test_thousands_of_attributes(spark):
     wide = widen.widen(spark.createDataFrame(rows, LOG), registry)
     assert len(wide.columns) == 1 + 2100 + 300
     plan = plan_of(wide)
-    assert plan.count("SortMergeJoin") == 32 and "Exchange" not in plan and "Broadcast" not in plan
+    assert plan.count("SortMergeJoin") == 6 and "Exchange" not in plan and "Broadcast" not in plan
     got = {r["entity_id"]: r.asDict() for r in wide.collect()}
     assert len(got) == 6 and all(got["e0"][p] is not None for _, p, _, _, _ in props)
     want = {"string": "text", "date": date(2020, 1, 2), "decimal": Decimal("1.50"), "integer": Decimal(7)}

@@ -73,6 +73,9 @@ def test_mime(spark):
     assert one(spark, values.pick_mime(F.array(F.lit("application/octet-stream"), F.lit("Text/HTML; charset=x")))) == "text/html"
     assert one(spark, values.pick_mime(F.array(F.lit(None).cast("string")))) == "application/octet-stream"
     assert one(spark, values.mime_schema(F.lit(None).cast("string"))) == "Document"
+    for name, want in {"a.PDF": "application/pdf", "b.tar.csv": "text/csv", "none": None, "x.": None, ".html": "text/html", "y.unheardof": None}.items():
+        assert one(spark, values.guess_mime(F.lit(name))) == want
+    assert one(spark, values.pick_mime(F.array(F.lit("application/octet-stream")), F.lit("text/csv"))) == "text/csv"
     for mime, schema in {"text/xml": "HyperText", "Text/RTF; x": "PlainText", "image/vnd.djvu": "Image", "image/vnd.adobe.photoshop": "Image", "application/oebps-package+xml": "Email"}.items():
         assert one(spark, values.mime_schema(F.lit(mime))) == schema
 
