@@ -10,7 +10,7 @@ files that successful runs have taken up, each with its size and checksum. A run
 3. reduces the pending files to one state per record and compares it with the
    states that earlier runs have left in the *record store* (for the entities at
    hand only): a record is new if no earlier run saw it in an earlier batch,
-4. writes its result, its record states and its manifest entries below folders
+4. writes its manifest entries, its record states and its result below folders
    named by its run identifier, replacing whatever a failed attempt left there,
 5. commits by publishing one small file, the next manifest version, which names
    those folders; it appears whole, and for one run only (:meth:`Folder.create`).
@@ -124,10 +124,11 @@ class Manifest:
     def output_path(self, run_id: str) -> str:
         return f"{self.root}/output/run={run_id}"
 
-    def prepare(self, run_id: str, taken: DataFrame, states: DataFrame) -> None:
-        """Write what a commit of ``run_id`` will name."""
-        taken.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/files/run={run_id}")
-        states.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/records/run={run_id}")
+    def prepare(self, run_id: str, what: str, rows: DataFrame) -> DataFrame:
+        """Write ``files`` or ``records`` that a commit of ``run_id`` will name; returns a reader of what was written."""
+        path = f"{self.root}/{what}/run={run_id}"
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def commit(self, run_id: str, base: int) -> int:
         """Publish the version after ``base`` with what was prepared; fails if another run has."""
@@ -173,12 +174,10 @@ def changed_entities(states: DataFrame, known: DataFrame) -> DataFrame:
 def run_increment(spark: SparkSession, inputs: str, manifest: Manifest, run_id: str, listed: DataFrame | None = None) -> DataFrame:
     """One run over the files below ``inputs``: list, anti-join, compare, write under the run's identifier, commit. Returns what was written."""
     base = manifest.version()
-    scratch = Scratch(spark, "increment")
-    pending = scratch.stage(manifest.pending(listing(spark, inputs) if listed is None else listed).coalesce(1), "pending")
-    states = scratch.stage(record_states(read_files(pending, inputs)), "states")
+    pending = manifest.prepare(run_id, "files", manifest.pending(listing(spark, inputs) if listed is None else listed).coalesce(1))
+    states = manifest.prepare(run_id, "records", record_states(read_files(pending, inputs)))
     out = manifest.output_path(run_id)
     changed_entities(states, manifest.records()).write.mode("overwrite").parquet(out)
-    manifest.prepare(run_id, pending, states)
     manifest.commit(run_id, base)
     return spark.read.schema("entity_id string, op string").parquet(out)
 
@@ -190,7 +189,8 @@ def increment_after_runs(statements: DataFrame, runs: DataFrame, run_id: str = "
     inputs, manifest = scratch.path("inputs"), Manifest(spark, scratch.path("store"))
     land(statements, inputs)
     listed = scratch.stage(listing(spark, inputs).coalesce(1), "listing")
-    covered = scratch.stage(listed.join(covered_batches(runs), "batch_no", "left_semi").select(listed.columns).coalesce(1), "covered")
-    manifest.prepare("history", covered, record_states(read_files(covered, inputs)))
+    covered = listed.join(covered_batches(runs), "batch_no", "left_semi").select(listed.columns)
+    covered = manifest.prepare("history", "files", covered.coalesce(1))
+    manifest.prepare("history", "records", record_states(read_files(covered, inputs)))
     manifest.commit("history", 0)
     return run_increment(spark, inputs, manifest, run_id, listed)

@@ -17,7 +17,7 @@ from statelake.functions import ids
 from statelake.functions import values as rules
 from statelake.operators import assemble as asm
 from statelake.operators import documents as docs
-from statelake.operators import checksums, feeds, hierarchy, smallfiles, stats
+from statelake.operators import asof, checksums, feeds, hierarchy, smallfiles, stats
 from statelake.operators import merge as mrg
 from statelake.plans.query import C, Compiler, G, M, P, Query, parse_flat, parse_rql
 from statelake.registry import Registry
@@ -741,6 +741,15 @@ def asof_previous(t):
     return t.events.select("event_id", F.lag("event_id").over(line).alias("before"))
 
 
+@query("""WITH s AS (SELECT entity_id, last_seen, max(row_no) AS row_no FROM statements WHERE last_seen IS NOT NULL GROUP BY ALL)
+    SELECT message_no, s.last_seen AS seen, s.row_no FROM journal j ASOF LEFT JOIN s ON j.entity_id = s.entity_id AND j.received_at >= s.last_seen""")
+def asof_statements(t):
+    """With each journal message the entity's latest statement up to its arrival."""
+    observed = t.statements.select("entity_id", "last_seen", "row_no")
+    joined = asof.asof_join(t.journal.select("message_no", "entity_id", "received_at"), observed, "entity_id", "received_at", "last_seen")
+    return joined.select("message_no", F.col("matched.last_seen").alias("seen"), F.col("matched.row_no").alias("row_no"))
+
+
 @query("SELECT count(*) AS n, percentile_disc(0.5) WITHIN GROUP (ORDER BY o_custkey) AS median FROM orders")
 def sql_percentile(t):
     return passthrough(t, "SELECT count(*) AS n, percentile_disc(0.5) WITHIN GROUP (ORDER BY o_custkey) AS median FROM {orders}", "orders").select("n", F.col("median").cast("long").alias("median"))

@@ -124,3 +124,30 @@ def test_slice_helpers():
 def test_last_wins(spark):
     df = statements(spark, s(value="a"), s(value="b"), s("t")).withColumn("n", F.when(F.col("value") == "b", 1).otherwise(0))
     assert sorted((r["id"], r["value"]) for r in last_wins(df, "n").collect()) == [("s1", "b"), ("t", "v")]
+
+
+def test_asof_join_equals_brute_force(spark):
+    """A hot key over many buckets, ties, nulls, repeats, clashing names and empty sides."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from statelake.operators.asof import asof_join
+
+    rng = random.Random(3)
+    key = lambda: rng.choice(["hot", "hot", "a", "b", "only", None])
+    when = lambda: None if rng.random() < 0.05 else at(rng.randrange(80) / 4)
+    left = [(i, key(), when(), "l") for i in range(400)] + [(0, "hot", at(5), "l")] * 2
+    right = [(i, "x" if (k := key()) == "only" else k, when(), f"r{i % 9}") for i in range(150)] + [(7, "hot", at(5), "r0")] * 2
+    schema = "n int, k string, t timestamp_ntz, carried string"
+    got = asof_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "k", "t", "t").collect()
+
+    def brute(k, t):
+        found = [(u, n, v) for n, j, u, v in right if k is not None and t is not None and j == k and u is not None and u <= t]
+        return max(found, default=None)
+
+    want = [(*r, brute(r[1], r[2])) for r in left]
+    assert sorted(((*r[:4], None if r[4] is None else tuple(r[4])) for r in got), key=repr) == sorted(want, key=repr)
+    empty = spark.createDataFrame([], schema)
+    assert asof_join(empty, empty, "k", "t", "t").count() == 0
+    assert asof_join(spark.createDataFrame(left, schema), empty, "k", "t", "t").where(F.col("matched").isNull()).count() == len(left)

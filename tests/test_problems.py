@@ -303,7 +303,11 @@ def test_of_two_runs_one_commits(spark, root):
     from concurrent.futures import ThreadPoolExecutor
 
     manifest = increments.Manifest(spark, root)
-    empty = spark.createDataFrame([], increments.LISTING), spark.createDataFrame([], increments.STATE)
+    empty = {"files": spark.createDataFrame([], increments.LISTING), "records": spark.createDataFrame([], increments.STATE)}
+
+    def prepare(name):
+        for what, rows in empty.items():
+            manifest.prepare(name, what, rows)
 
     def attempt(name):
         try:
@@ -312,11 +316,11 @@ def test_of_two_runs_one_commits(spark, root):
             return 0
 
     for name in "ab":
-        manifest.prepare(name, *empty)
+        prepare(name)
     with ThreadPoolExecutor(2) as pool:
         assert sorted(pool.map(attempt, "ab")) == [0, 1]
     for version in range(1, increments.SNAPSHOT):
-        manifest.prepare(f"r{version}", *empty)
+        prepare(f"r{version}")
         manifest.commit(f"r{version}", version)
     assert len(manifest._named("files")) == 1 and manifest.entries().count() == 0 and manifest.records().count() == 0
 
