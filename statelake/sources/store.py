@@ -58,6 +58,7 @@ class StatementStore:
         self.spark, self.root, self.shards = spark, root.rstrip("/"), shards
         self.folder = Folder(spark, self.root)
         self.tags = Tags(Folder(spark, f"{self.root}/tags"))
+        self._frames: dict[str, DataFrame] = {}
 
     # ---- log
 
@@ -105,8 +106,14 @@ class StatementStore:
     # ---- reading
 
     def raw(self, version: int | None = None) -> DataFrame:
-        """Every physical row of a version."""
-        return self._read(self.files(version))
+        """Every physical row of a version. Versions do not change, so the listing of the last one read is kept."""
+        version = self.version() if version is None else version
+        if version is None:
+            return self._read([])
+        commit = self.folder.read(f"log/v{version:012d}.json")  # a table that was destroyed counts from 0 again
+        if commit not in self._frames:
+            self._frames = {commit: self._read(self.files(version))}
+        return self._frames[commit]
 
     def _read(self, files: list[dict]) -> DataFrame:
         if not files:
