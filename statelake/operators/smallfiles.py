@@ -35,13 +35,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statelake.operators.parquet_blocks import BlockCopier, schema_of
 from statelake.session import Scratch
+from statelake.sources.blobs import Store
 
 SMALL_BYTES = 16384
 TARGET_BYTES = 128 << 20
@@ -100,13 +100,7 @@ def _publish(copier: BlockCopier, name: str, folder: str) -> tuple[str, int]:
     meta = pq.read_metadata(pa.BufferReader(image))
     if meta.num_rows != copier.rows or meta.num_row_groups != len(copier.groups):
         raise ValueError(f"{name}: {meta.num_rows} rows in {meta.num_row_groups} groups, expected {copier.rows} in {len(copier.groups)}")
-    fs, root = pa.fs.FileSystem.from_uri(folder)
-    directory = f"{root}/{name}".rpartition("/")[0]
-    fs.create_dir(directory, recursive=True)
-    draft, final = f"{directory}/.{hashlib.sha1(image).hexdigest()[:12]}.draft", f"{root}/{name}.parquet"
-    with fs.open_output_stream(draft) as out:
-        out.write(image)
-    fs.move(draft, final)
+    Store(folder).put(f"{name}.parquet", image)
     return f"{name}.parquet", len(image)
 
 
@@ -159,11 +153,10 @@ def _opened(source: str):
     """Images of the files named by batches of ``bin, file_no, num_rows, path``, opened one after the other."""
 
     def images(batches: Iterator[pa.RecordBatch]) -> Images:
-        fs, root = pa.fs.FileSystem.from_uri(source)
+        files = Store(source)
         for batch in batches:
             for name, number, expected, path in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                with fs.open_input_stream(f"{root}/{path}", compression=None) as f:
-                    yield name, number, expected, f.read()
+                yield name, number, expected, files.read(path)
 
     return images
 

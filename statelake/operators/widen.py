@@ -138,3 +138,13 @@ def typed_cells(wide: DataFrame, props: list[tuple[str, str, bool]]) -> DataFram
         return wide.select("entity_id", F.lit("").alias("prop"), F.lit("").alias("cell")).limit(0)
     pairs = F.array(*[F.struct(F.lit(p).alias("prop"), F.col(f"`{c}`").cast("string").alias("cell")) for p, c in typed])
     return wide.select("entity_id", F.explode(pairs).alias("c")).select("entity_id", "c.prop", "c.cell").where("cell is not null")
+
+
+def all_cells(wide: DataFrame, props: list[tuple[str, str, bool]]) -> DataFrame:
+    """Everything a wide table holds, in long form: ``entity_id, prop, cell`` (as text) and ``n``, the number of values of attributes that allow several."""
+    names = column_names(props)
+    if not props:
+        return wide.select("entity_id", F.lit("").alias("prop"), F.lit("").alias("cell"), F.lit(0).cast("long").alias("n")).limit(0)
+    count = lambda p, many: F.col(f"`{names[p]}__n`") if many else F.lit(None).cast("long")
+    pairs = F.array(*[F.struct(F.lit(p).alias("prop"), F.col(f"`{names[p]}`").cast("string").alias("cell"), count(p, many).alias("n")) for p, _, many in props])
+    return wide.select("entity_id", F.explode(pairs).alias("c")).select("entity_id", "c.prop", "c.cell", "c.n").where("cell is not null")

@@ -46,6 +46,12 @@ def p3_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widen.widen(table(spark, sf_dir, "statements"), table(spark, sf_dir, "schema_props"))
 
 
+def p3_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that ``p3_wide`` holds, in long form, so that SQL can say the same."""
+    registry = table(spark, sf_dir, "schema_props")
+    return widen.all_cells(widen.widen(table(spark, sf_dir, "statements"), registry), widen.attributes(registry))
+
+
 def p3_many_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = table(spark, sf_dir, "schema_props")
     return widen.many_values(widen.live_records(table(spark, sf_dir, "statements")), widen.attributes(registry))
@@ -111,7 +117,7 @@ def p7_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    p1_found, p1_deduped, p2_found, p2_entity_states, p2_shard_states, p3_found, p3_wide, p3_many_values, p4_found, p4_paths, p4_descendants, p4_counts,
+    p1_found, p1_deduped, p2_found, p2_entity_states, p2_shard_states, p3_found, p3_wide, p3_cells, p3_many_values, p4_found, p4_paths, p4_descendants, p4_counts,
     p4_loops, p5_found, p5_compacted, p6_found, p7_found, p7_state,
 )
 
@@ -197,6 +203,12 @@ def oracle_sql() -> dict[str, str]:
         "p2_entity_states": _STATES.format(key="entity_id"),
         "p2_shard_states": _STATES.format(key="shard"),
         "p3_found": f"WITH {_LIVE}, {_CELLS} SELECT entity_id, prop, min(cell) AS cell FROM found WHERE cell IS NOT NULL GROUP BY ALL",
+        "p3_cells": f"""
+            WITH {_LIVE}, {_CELLS},
+            texts AS (SELECT entity_id, l.prop, value AS cell FROM live l WHERE value IS NOT NULL AND entity_id IS NOT NULL AND prop IN (SELECT prop FROM schema_props WHERE cell_type = 'string' AND prop <> 'id')),
+            several AS (SELECT prop, bool_or(many) AS many FROM schema_props GROUP BY 1)
+            SELECT entity_id, c.prop, min(cell) AS cell, CASE WHEN any_value(many) THEN count(DISTINCT cell) END AS n
+            FROM (SELECT * FROM found UNION ALL SELECT * FROM texts) c JOIN several s ON c.prop = s.prop WHERE cell IS NOT NULL GROUP BY 1, 2""",
         "p3_many_values": f"WITH {_LIVE} SELECT DISTINCT entity_id, prop, value FROM live WHERE prop IN (SELECT prop FROM schema_props WHERE many) AND value IS NOT NULL",
         "p4_found": f"""
             WITH RECURSIVE {_TREE}, {_LOOPS},

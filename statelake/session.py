@@ -46,7 +46,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster, or a local one if none is set."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return shared.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared.rstrip("/"))
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="statelake-")

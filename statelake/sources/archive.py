@@ -58,7 +58,7 @@ class Archive:
 
     def open(self, checksum: str):
         """A stream over a blob."""
-        return Store(self.root).open(f"{key_folder(checksum)}/blob")
+        return Store(self.folder.uri).open(f"{key_folder(checksum)}/blob")
 
     def stream(self, checksum: str, chunk: int = 1 << 20) -> Iterator[bytes]:
         with self.open(checksum) as stream:
@@ -67,7 +67,7 @@ class Archive:
 
     def local_path(self, checksum: str) -> str | None:
         """The blob's path on this machine; ``None`` if it lies elsewhere."""
-        store = Store(self.root)
+        store = Store(self.folder.uri)
         return store.path(f"{key_folder(checksum)}/blob") if store.fs.type_name == "local" else None
 
     def text(self, checksum: str, origin: str | None = None) -> str | None:
@@ -147,12 +147,12 @@ class Archive:
         else:
             keyed = keyed.drop("content")
         paths = Scratch(self.spark, "crawl").stage(keyed, "paths")
-        root, dataset, origin_ = self.root, self.dataset, origin
+        source, root, dataset = here.uri, self.folder.uri, self.dataset
         known: DataFrame | None = None
         if policy == "skip-checksum":
             hashed = paths.mapInArrow(_hashed(source), "key string, checksum string")
             known = Scratch(self.spark, "crawl").stage(hashed.join(self.files().select("checksum").distinct(), "checksum", "left_anti").select("key"), "paths")
-        made = (paths if known is None else known).select("key").mapInArrow(_stored(source, root, dataset, origin_), META.replace("extra map<string,string>, ", "").replace("timestamp", "string"))
+        made = (paths if known is None else known).select("key").mapInArrow(_stored(source, root, dataset, origin), META.replace("extra map<string,string>, ", "").replace("timestamp", "string"))
         return Scratch(self.spark, "crawl").stage(made, "records")
 
     def download(self, target: str) -> DataFrame:
@@ -161,7 +161,7 @@ class Archive:
         Of several contents of one key the newest record counts.
         """
         newest = self.files().where("key is not null").groupBy("key").agg(F.max_by("checksum", F.struct("updated_at", "checksum")).alias("checksum"))
-        root = self.root
+        root, target = self.folder.uri, Folder(self.spark, target).uri
 
         def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             source, goal = Store(root), Store(target)

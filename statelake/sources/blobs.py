@@ -9,11 +9,18 @@ from contextlib import contextmanager
 from pyarrow import fs as pafs
 
 
+def resolve(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a Hadoop-style address: local ones may hold blanks, and one slash or three after ``file:``."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+
+
 class Store:
     """A folder named by a URI. Made anew in each task, since connections do not travel."""
 
     def __init__(self, uri: str):
-        self.fs, root = pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+        self.fs, root = resolve(uri)
         self.root = root.rstrip("/")
 
     def path(self, name: str) -> str:

@@ -39,6 +39,7 @@ def write_lines(lines: DataFrame, folder: str, codec: str | None = None, head: s
     Parts are written beside it, and take its place when all are there.
     """
     kind = _codec(codec)
+    folder = Folder(lines.sparkSession, folder).uri
     draft = f"{folder}.draft"
     delete_path(lines.sparkSession, draft)
 
@@ -79,6 +80,7 @@ def _whole(data: bytes, kind: str | None) -> bytes:
 def parts(spark: SparkSession, path: str) -> list[tuple[str, str | None]]:
     """``(path, codec)`` of the parts of an export, or of a single file, in order."""
     here = Folder(spark, path)
+    path = here.uri
     names = [f"{path}/{n}" for n in here.names() if not n.startswith("_")]
     if names == [f"{path}/{path.rstrip('/').rpartition('/')[2]}"]:
         names = [path]

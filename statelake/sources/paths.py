@@ -18,6 +18,11 @@ class Folder:
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    @property
+    def uri(self) -> str:
+        """The folder's whole address, as tasks need it that read and write files themselves."""
+        return self._fs.makeQualified(self._path("")).toString()
+
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 

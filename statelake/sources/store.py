@@ -227,7 +227,7 @@ class StatementStore:
                     plan.append((f"{folder}/{i:06d}", number, None, f["path"]))
                     number += 1
             planned = self.spark.createDataFrame(plan, "bin string, file_no bigint, num_rows bigint, path string")
-            report = smallfiles.compact_files(planned, f"{self.root}/data", f"{self.root}/data/{batch}", min(len(bins), shuffle_partitions(self.spark)))
+            report = smallfiles.compact_files(planned, f"{self.folder.uri}/data", f"{self.folder.uri}/data/{batch}", min(len(bins), shuffle_partitions(self.spark)))
             made: dict[str, dict] = {}
             for row in report.select("file_no", "out_path", "out_bytes").collect():  # one row per small file, as the log itself has
                 by = old[row["file_no"]]["by"]

@@ -447,3 +447,18 @@ def test_statements_are_written_as_they_are(spark, root):
     assert ds.journal.count() == 1 and ds.flush() == 1
     ds.write_statements(statements(spark, s("b", "jane", shard="wrong")), bulk=True)
     assert {(r["id"], r["shard"]) for r in ds.store.raw().collect()} == {("a", "4"), ("b", "4")}
+
+
+def test_local_addresses(spark, tmp_path):
+    """Blanks in a path, with and without a scheme; tasks and the driver mean the same folder."""
+    from statelake.sources.blobs import Store, resolve
+
+    here = f"{tmp_path}/a b"
+    assert {resolve(u)[1] for u in (here, f"file:{here}", f"file://{here}")} == {here}
+    for number, root in enumerate((here, f"file://{here}")):
+        store = StatementStore(spark, f"{root}/t{number}")
+        for day in range(2):
+            store.append(statements(spark, s("a", first=day)))
+        assert store.compact() == 1 and store.raw().count() == 2
+        Store(root).put(f"x{number}", b"1")
+    assert sorted(p.name for p in (tmp_path / "a b").iterdir()) == ["t0", "t1", "x0", "x1"]
